@@ -19,6 +19,7 @@ _CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _ASIDE = frozenset("nav footer aside head".split())
 _MAIN = frozenset("article main".split())
+_ASIDE_CLASS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs cookie menu nav navbar promo sidebar sponsored".split())
 _REPEAT = re.compile(r"(.{1,64}?)\1+", re.S)
 TEXT = "#"
 
@@ -49,7 +50,7 @@ def tokens(html: str, symbols: Symbols) -> tuple[str, list[str], list[bool]]:
     """A page as one character per token, its texts, and of each whether it
     stands in a region that isn't content. Inline markup belongs to the text;
     comments, scripts and styles are nothing."""
-    out, texts, aside, buffer, depth = [], [], [], [], 0
+    out, texts, aside, buffer, region, depth = [], [], [], [], "", 0
 
     def flush() -> None:
         if buffer:
@@ -77,16 +78,19 @@ def tokens(html: str, symbols: Symbols) -> tuple[str, list[str], list[bool]]:
             continue
         flush()
         if m.group(2):
-            if name in _ASIDE:
-                depth = max(0, depth - 1)
+            if depth and name == region:
+                depth -= 1
             out.append(symbols.of("/" + name))
             continue
-        if name in _ASIDE:
-            depth += 1
-        elif name in _MAIN:
-            depth = 0
         cls = _CLASS.search(m.group(4)) if m.group(4) else None
-        out.append(symbols.of(name + ("." + " ".join((cls.group(1) or cls.group(2) or cls.group(3) or "").split()) if cls else "")))
+        words = (cls.group(1) or cls.group(2) or cls.group(3) or "").split() if cls else []
+        if name in _MAIN:
+            depth = 0
+        elif depth:
+            depth += name == region
+        elif name in _ASIDE or not _ASIDE_CLASS.isdisjoint(words):
+            region, depth = name, 1
+        out.append(symbols.of(".".join((name, " ".join(words))) if words else name))
     flush()
     return "".join(out), texts, aside
 
@@ -367,8 +371,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     expression without unions: repetitions become repeated groups, mismatches
     optional groups, differing texts slots. A text that all pages of a host
     share in its slot (two pages at least) is template; the others are data.
-    The text of a page is its data outside of nav, footer, aside and head, a
-    line per slot. All pages of a host take part in its wrapper, each distinct
+    The text of a page is its data outside of nav, footer, aside, head and
+    elements whose class says that they are such, or advertising; a line per slot. All pages of a host take part in its wrapper, each distinct
     stream once.
 
     A null html gives a null text and null counts; an empty one, or one without
