@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import SESSIONS
@@ -12,17 +12,18 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
     """(id, project_path, created_at, last_accessed_at, metadata) of
     session-*.json; files that don't parse are left out."""
     names = {"id": "id", "projectPath": "project_path", "createdAt": "created_at", "lastAccessedAt": "last_accessed_at", "metadata": "metadata"}
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "session-*.json").text(folder)
+    raw = spark.read.option("pathGlobFilter", "session-*.json").text(folder, wholetext=True)
     parsed = raw.select(F.from_json("value", "id string, projectPath string, createdAt long, lastAccessedAt long, metadata map<string,string>", {"mode": "PERMISSIVE"}).alias("s")).where("s.id IS NOT NULL")
     rows = parsed.select(*[(F.to_json(f"s.{a}") if a == "metadata" else F.col(f"s.{a}")).alias(b) for a, b in names.items()])
     return rows.select(*(x.split()[0] for x in SESSIONS.split(", ")))
 
 
 def tail(spark: SparkSession, path: str, lines: int = 50) -> DataFrame:
-    """(pos, value): a log file's last lines, in order."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("l"))
-    last = whole.select(F.slice("l", F.greatest(F.lit(1), F.size("l") - lines + 1), F.lit(lines)).alias("l"))
-    return last.select(F.posexplode("l").alias("pos", "value"))
+    """(pos, value): a log file's last lines, in order; blank ones don't count.
+    Each partition gives its own last lines, so the file is never in one row."""
+    rows = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    last = rows.orderBy(F.desc("block"), F.desc("n")).limit(lines)
+    return last.select((F.row_number().over(Window.orderBy("block", "n")) - 1).alias("pos"), "value")
 
 
 def events(raw: DataFrame) -> DataFrame:
