@@ -433,6 +433,108 @@ def q_exported(spark, d):
     return _code(spark, d).select("term", "language", reports.exported(F.col("language"), F.col("term"), F.col("context"), F.col("type")).alias("exported"))
 
 
+_CONTEXT = """CASE WHEN rank % 4 = 0 THEN 'async function ' || term || '(): Promise<Row' || rank || '> {' WHEN rank % 4 = 1 THEN 'return total' || rank || '; throw new ' || type || 'Error()'
+    WHEN rank % 4 = 2 THEN 'save(' || term || ')' ELSE 'save(load(' || term || '))' END"""
+
+
+def _with_context(spark, d, q: str = "ring", limit: int = 100) -> DataFrame:
+    """Results with a context line, a language and a path, by rank."""
+    r, rank = F.col("rank") % 4, F.col("rank").cast("string")
+    context = (
+        F.when(r == 0, F.concat(F.lit("async function "), "term", F.lit("(): Promise<Row"), rank, F.lit("> {")))
+        .when(r == 1, F.concat(F.lit("return total"), rank, F.lit("; throw new "), "type", F.lit("Error()")))
+        .when(r == 2, F.concat(F.lit("save("), "term", F.lit(")")))
+        .otherwise(F.concat(F.lit("save(load("), "term", F.lit("))")))
+    )
+    language = F.when(F.col("rank") % 3 == 0, "go").otherwise("python")
+    path = F.concat(F.lower("file"), F.when(F.col("rank") % 5 == 0, ".test.ts").otherwise(".ts"))
+    return _found(spark, d, q, limit).withColumns({"context": context, "language": language, "file": path})
+
+
+def _context_sql(q: str = "ring", limit: int = 100) -> str:
+    return _found_sql(q, limit) + f""", ctx AS (SELECT * REPLACE (lower(file) || CASE WHEN rank % 5 = 0 THEN '.test.ts' ELSE '.ts' END AS file), {_CONTEXT} AS context, CASE WHEN rank % 3 = 0 THEN 'go' ELSE 'python' END AS language FROM found)"""
+
+
+@query(_context_sql() + """, l AS (SELECT language, count(*) AS n FROM ctx GROUP BY 1 ORDER BY n DESC, min(rank) LIMIT 1)
+    SELECT (SELECT language FROM l) AS main_language, round((SELECT n FROM l) * 100.0 / count(*))::INTEGER AS percent, count_if(contains(context, 'async')) * 2 > count(*) AS mostly_async,
+      (SELECT string_agg(DISTINCT e, ',' ORDER BY e) FROM (SELECT unnest(regexp_extract_all(context, 'throw new (\\w*Error)', 1)) AS e FROM ctx)) AS errors,
+      count_if(contains(file, '.test.') OR contains(file, '.spec.')) AS in_tests, (SELECT term FROM ctx WHERE usage_count > 5 ORDER BY usage_count DESC, rank LIMIT 1) AS widely_used FROM ctx""")
+def q_traits(spark, d):
+    return reports.traits(_with_context(spark, d)).withColumn("errors", F.array_join("errors", ","))
+
+
+@query(_context_sql() + """, c AS (SELECT rank, unnest(regexp_extract_all(context, '(\\w+)\\(', 1)) AS callee FROM ctx)
+    SELECT callee, count(*) AS calls FROM c GROUP BY 1 ORDER BY calls DESC, min(rank), callee LIMIT 1""")
+def q_frequent_callee(spark, d):
+    return reports.frequent_callee(_with_context(spark, d))
+
+
+@query(_context_sql() + """ SELECT CASE WHEN rank % 4 = 0 THEN 'Row' || rank ELSE 'total' || rank END AS returns FROM ctx WHERE rank % 4 IN (0, 1) ORDER BY rank LIMIT 1""")
+def q_guessed_return(spark, d):
+    return reports.guessed_return(_with_context(spark, d))
+
+
+@query(_found_sql() + " SELECT term || ' (' || usage_count || ' calls)' AS label FROM (SELECT * FROM found WHERE usage_count > 5 AND type IN ('SMALL', 'PROMO') ORDER BY rank LIMIT 5)")
+def q_much_called(spark, d):
+    kind = F.when(F.col("type").isin("SMALL", "PROMO"), "function").otherwise("string")
+    return reports.much_called(_found(spark, d).withColumn("type", kind))
+
+
+@query(_context_sql() + """, f AS (SELECT file, list(DISTINCT type) AS t, max(score) AS s, count(*) AS n, sum(usage_count) AS u FROM ctx GROUP BY 1)
+    SELECT file, CASE WHEN contains(file, '.test.') THEN 'tests' WHEN list_contains(t, 'SMALL') AND s > 0.9 THEN 'core implementation' WHEN list_contains(t, 'PROMO') THEN 'type definitions'
+      WHEN n > 5 THEN 'heavy usage' WHEN u > 0 THEN 'shared code' ELSE 'related' END AS role FROM f""")
+def q_file_roles(spark, d):
+    kind = F.when(F.col("type") == "SMALL", "class").when(F.col("type") == "PROMO", "interface").otherwise("other")
+    return reports.file_roles(_with_context(spark, d).withColumn("type", kind))
+
+
+@query(_found_sql("ring", 30) + """ SELECT rank, CASE rank % 3 WHEN 0 THEN '  return ' || term || '(x) {|go to ' || type WHEN 1 THEN type || ' alone|class ' || term ELSE 'nothing here|' || term || ' too' END AS context_lines FROM found""")
+def q_best_context(spark, d):
+    """Of four lines around each result the two that tell most."""
+    r, term, kind = F.col("rank") % 3, F.col("term"), F.col("type")
+    lines = (
+        F.when(r == 0, F.array(F.lit("zzz"), F.concat(F.lit("  return "), term, F.lit("(x) {")), F.concat(F.lit("go to "), kind), F.lit("")))
+        .when(r == 1, F.array(F.lit(""), F.lit("yyy"), F.concat(kind, F.lit(" alone")), F.concat(F.lit("class "), term)))
+        .otherwise(F.array(F.lit("x"), F.lit("nothing here"), F.concat(term, F.lit(" too")), F.lit("w")))
+    )
+    best = reports.best_context(_found(spark, d, "ring", 30).withColumn("surrounding_lines", lines))
+    return best.select("rank", F.array_join("context_lines", "|").alias("context_lines"))
+
+
+@query(_found_sql("ring", 30) + " SELECT rank, CASE rank % 3 WHEN 0 THEN 'TODO' ELSE 'FIXME,NOTE' END AS found FROM found WHERE rank % 3 < 2")
+def q_near_markers(spark, d):
+    r = F.col("rank") % 3
+    lines = F.when(r == 0, F.array(F.lit("// todo: x"), F.lit("TODO"))).when(r == 1, F.array(F.lit("a FIXME"), F.lit("note b"))).otherwise(F.array(F.lit("plain")))
+    return reports.near_markers(_found(spark, d, "ring", 30).withColumn("surrounding_lines", lines)).select("rank", F.array_join("found", ",").alias("found"))
+
+
+@query(_found_sql("ring", 30) + """ SELECT rank, '{"term":"' || term || '","file":"' || file || '","line":' || line || ',"uses":' || usage_count || '}' AS row FROM found""")
+def q_json_rows(spark, d):
+    found = _found(spark, d, "ring", 30).select("term", "file", "line", F.col("usage_count").alias("uses"), F.lit(None).cast("string").alias("gone"), "rank")
+    return reports.as_json(found).select("rank", F.regexp_replace("row", ',"rank":[0-9]+', "").alias("row"))
+
+
+_CAMEL = """SELECT DISTINCT key FROM (SELECT unnest(list_concat([lower(t)], list_filter(list_concat(string_split(lower(t), '_'), string_split(lower(t), '-'), string_split(lower(regexp_replace(t, '([a-z])([A-Z])', '\\1_\\2', 'g')), '_')), lambda p: length(p) > 2))) AS key
+    FROM (SELECT split_part(p_name, ' ', 1) || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) AS t FROM part))"""
+
+
+@query(_CAMEL)
+def q_postings_camel(spark, d):
+    words = F.split("term", "_")
+    camel = F.concat(words[0], F.upper(F.left(words[1], F.lit(1))), F.substring(words[1], 2, 100))
+    return postings(definitions(spark, d).withColumn("term", camel), camel=True).select("key").distinct()
+
+
+@query(f"""WITH {POSTINGS}, {_ranked_sql("", 1000, name="e")}, {_ranked_sql("blue", 100, name="b")} SELECT term, type, file, line FROM e WHERE (file, line, term) NOT IN (SELECT (file, line, term) FROM b)""")
+def q_search_not_capped(spark, d):
+    return search.none_of(postings(definitions(spark, d)), "blue", scan=1000).select("term", "type", "file", "line")
+
+
+@query(f"""WITH {POSTINGS}, {_ranked_sql("blu", name="ranked", where="contains(file, 'Brand#1') OR regexp_matches(file, '.*#2.')")} SELECT rank, term, type, file, line, round(score, 6) AS score FROM ranked""")
+def q_search_glob(spark, d):
+    return _show(search.ranked(postings(definitions(spark, d)), "blu", search.Options(files=("Brand#1", "*#2?"))))
+
+
 # Files
 
 
@@ -640,6 +742,40 @@ def q_key_files(spark, d):
     return changes.key_files(changes.impacted_files(_symbols(spark, d), refs(spark, d)))
 
 
+@query(_SYMBOLS + """, s AS (SELECT path, term FROM symbols WHERE place <= 3 AND usage_count >= 2), i AS (SELECT path, file, count(*) AS refs FROM refs JOIN s ON term = target_term WHERE file <> path GROUP BY ALL)
+    SELECT *, CASE WHEN total_impact = 0 THEN 'None' WHEN total_impact < 10 THEN 'Low' WHEN total_impact < 50 THEN 'Medium' ELSE 'High' END AS risk FROM (
+      SELECT coalesce((SELECT sum(CASE WHEN place <= 3 OR usage_count >= 2 THEN usage_count ELSE 0 END) FROM symbols), 0)::BIGINT AS total_impact, coalesce((SELECT sum(refs) FROM i), 0)::BIGINT AS external_refs,
+        (SELECT count(DISTINCT file) FROM i) AS impacted_files, (SELECT count(*) FROM symbols WHERE usage_count > 5) AS high_impact)""")
+def q_change_report(spark, d):
+    return changes.report(_symbols(spark, d), refs(spark, d))
+
+
+_IMPACTED = "i AS (SELECT 'p' || (l_orderkey % 3) AS path, CASE WHEN l_suppkey % 4 = 0 THEN 'test/s' || l_suppkey || '.spec.ts' ELSE 'src/d' || (l_suppkey % 7) || '/s' || l_suppkey || '.ts' END AS file, count(*) AS refs FROM lineitem GROUP BY ALL)"
+
+
+def _impacted(spark, d) -> DataFrame:
+    s = F.col("l_suppkey")
+    file = F.when(s % 4 == 0, F.concat(F.lit("test/s"), s.cast("string"), F.lit(".spec.ts"))).otherwise(F.concat(F.lit("src/d"), (s % 7).cast("string"), F.lit("/s"), s.cast("string"), F.lit(".ts")))
+    rows = table(spark, d, "lineitem").select(F.concat(F.lit("p"), (F.col("l_orderkey") % 3).cast("string")).alias("path"), file.alias("file"))
+    return rows.groupBy("path", "file").agg(F.count("*").alias("refs"))
+
+
+@query(f"WITH {_IMPACTED} SELECT regexp_extract(file, '^(.*)/[^/]*$', 1) AS dir, count(DISTINCT file) AS files FROM i GROUP BY 1 ORDER BY files DESC, dir LIMIT 3")
+def q_impacted_dirs(spark, d):
+    return changes.by_directory(_impacted(spark, d))
+
+
+@query(f"WITH {_IMPACTED} SELECT DISTINCT file FROM i WHERE contains(file, '.spec.') ORDER BY file LIMIT 5")
+def q_tests_to_run(spark, d):
+    return changes.tests_to_run(_impacted(spark, d))
+
+
+@query("SELECT path, status, is_staged, seq FROM (SELECT 'f' || (o_custkey % 50) AS path, o_orderstatus AS status, o_orderkey % 3 = 0 AS is_staged, o_orderkey::INTEGER AS seq FROM orders) QUALIFY row_number() OVER (PARTITION BY path ORDER BY is_staged DESC, seq) = 1")
+def q_staged_wins(spark, d):
+    o = table(spark, d, "orders")
+    return changes.staged_wins(o.select(F.concat(F.lit("f"), (F.col("o_custkey") % 50).cast("string")).alias("path"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 3 == 0).alias("is_staged"), F.col("o_orderkey").cast("int").alias("seq")))
+
+
 # Streams, sessions and logs
 
 
@@ -743,6 +879,66 @@ def q_llm_reduce(spark, d):
     return sessions.reduced(rows).withColumn("cost", F.round("cost", 4))
 
 
+@query("""WITH u AS (SELECT user_id AS id, event_type AS name, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, event_id AS time FROM events)
+    SELECT id, arg_max(name, time) AS name, arg_max(status, time) AS status, min(time) AS start_time, max(CASE WHEN status <> 'running' THEN time END) AS end_time, end_time - start_time AS duration FROM u GROUP BY 1""")
+def q_activity_lifecycle(spark, d):
+    k = F.col("event_type")
+    status = F.when(k == "purchase", "completed").when(k == "error", "failed").otherwise("running")
+    return sessions.lifecycle(table(spark, d, "events").select(F.col("user_id").alias("id"), k.alias("name"), status.alias("status"), F.col("event_id").alias("time")))
+
+
+@query("""SELECT coalesce(a.id, b.id) AS id, coalesce(a.c, 5000) AS created_at, CASE WHEN b.id IS NOT NULL THEN 5000 ELSE a.c END AS last_accessed_at
+    FROM (SELECT o_orderkey::VARCHAR AS id, epoch_ms(o_orderdate) AS c FROM orders WHERE o_orderkey % 2 = 0) a FULL JOIN (SELECT DISTINCT o_custkey::VARCHAR AS id FROM orders WHERE o_custkey % 3 = 0) b ON a.id = b.id""")
+def q_session_touch(spark, d):
+    ids = table(spark, d, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").cast("string").alias("id"))
+    known = _sessions(spark, d).where("cast(id AS long) % 2 = 0")
+    return sessions.touched(known, ids, 5000).select("id", "created_at", "last_accessed_at")
+
+
+@query("""WITH e AS (SELECT *, CASE event_type WHEN 'view' THEN 600 WHEN 'error' THEN 300 ELSE 120 END AS gap FROM events),
+    m AS (SELECT *, max(ts + to_seconds(gap * 60)) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until FROM e),
+    s AS (SELECT *, sum(CASE WHEN until IS NULL OR ts >= until THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM m)
+    SELECT user_id, min(ts) AS start, count(*) AS events FROM s GROUP BY user_id, n""")
+def q_tool_timeouts(spark, d):
+    """Runs of events that end by a silence whose length hangs on the last tool."""
+    k = F.col("event_type")
+    tool = F.when(k == "view", "Task").when(k == "error", "Bash").otherwise(k)
+    gap = F.concat((sessions.timeout_seconds(tool) * 60).cast("string"), F.lit(" seconds"))
+    return sessions.silence_sessions(table(spark, d, "events"), "user_id", gap).drop("end")
+
+
+_NDJSON = """raw AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'noise' WHEN event_type = 'purchase' THEN '{"type":"result","session_id":"s' || user_id || '","result":"r","total_cost_usd":' || value || '}'
+    ELSE '{"type":"assistant","message":{"content":[{"type":"text","text":"t' || event_id || '"},{"type":"tool_use","name":"Bash"}]}}' END AS raw FROM events)"""
+
+
+@query("""SELECT event_id AS seq, CASE WHEN event_type = 'purchase' THEN 'result' ELSE 'assistant' END AS type, CASE WHEN event_type = 'purchase' THEN 's' || user_id END AS session_id,
+    CASE WHEN event_type = 'purchase' THEN value END AS cost, CASE WHEN event_type <> 'purchase' THEN 't' || event_id END AS said, CASE WHEN event_type <> 'purchase' THEN 'Bash' END AS tool FROM events WHERE event_type <> 'error'""")
+def q_event_stream(spark, d):
+    from .sources import logs
+
+    e, k = table(spark, d, "events"), F.col("event_type")
+    result = F.concat(F.lit('{"type":"result","session_id":"s'), F.col("user_id").cast("string"), F.lit('","result":"r","total_cost_usd":'), F.col("value").cast("string"), F.lit("}"))
+    said = F.concat(F.lit('{"type":"assistant","message":{"content":[{"type":"text","text":"t'), F.col("event_id").cast("string"), F.lit('"},{"type":"tool_use","name":"Bash"}]}}'))
+    rows = logs.events(e.select(F.col("event_id").alias("seq"), F.when(k == "error", "noise").when(k == "purchase", result).otherwise(said).alias("raw")))
+    return rows.select("seq", "type", "session_id", "cost", F.try_element_at("texts", F.lit(1)).alias("said"), F.try_element_at("tools", F.lit(1)).alias("tool"))
+
+
+@query("""SELECT p_partkey, upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2) || upper(left(split_part(p_name, ' ', 2), 1)) || substr(split_part(p_name, ' ', 2), 2) AS pascal,
+    CASE WHEN length(p_name) > 8 THEN left(p_name, 8) || '...' ELSE p_name END AS preview, CASE WHEN p_partkey * 1000 // 3600000 > 0 THEN (p_partkey // 3600) || 'h ' || ((p_partkey // 60) % 60) || 'm'
+    WHEN p_partkey // 60 > 0 THEN (p_partkey // 60) || 'm ' || (p_partkey % 60) || 's' ELSE p_partkey || 's' END AS duration, trim(p_name) AS unquoted, rpad(p_name, greatest(14, length(p_name))::INTEGER, ' ') AS padded FROM part""")
+def q_text_helpers(spark, d):
+    p, name = table(spark, d, "part"), F.col("p_name")
+    quoted = F.concat(F.lit('"'), name, F.lit(' ${x}$(y)"'))
+    return p.select("p_partkey", text.pascal_case(F.translate(name, " ", "-")).alias("pascal"), text.preview(name, 8).alias("preview"), text.human_duration(F.col("p_partkey") * 1000).alias("duration"), text.unquoted(quoted).alias("unquoted"), text.padded(name, 14).alias("padded"))
+
+
+@query("""SELECT doc_id, length(left(text, 200)) - length(replace(left(text, 200), chr(10), '')) + 1 AS line_of_200, array_to_string(list_transform(string_split(text, chr(10))[1:3], lambda x: trim(x, ' ')), '|') AS around FROM documents""")
+def q_line_helpers(spark, d):
+    t = table(spark, d, "documents")
+    lines = F.split("text", "\n")
+    return t.select("doc_id", text.line_of(F.col("text"), F.lit(200)).alias("line_of_200"), F.array_join(text.surrounding(lines, F.lit(1), 2, 2), "|").alias("around"))
+
+
 @query("SELECT name, count(*) AS terms FROM (VALUES " + ", ".join(f"('{g}', '{t}')" for g, (_, ts) in groups.GROUPS.items() for t in ts.split()) + ") v(name, term) GROUP BY 1")
 def q_concept_groups(spark, d):
     return groups.groups_table(spark).select("name", F.size("terms").cast("long").alias("terms"))

@@ -25,7 +25,7 @@ def touched(sessions: DataFrame, ids: DataFrame, now: int) -> DataFrame:
     wanted = ids.select("id", F.lit(True).alias("__w")).distinct()
     rows = sessions.join(wanted, "id", "full_outer")
     now_ = F.lit(now).cast("long")
-    return rows.withColumns({"created_at": F.coalesce("created_at", now_), "last_accessed_at": F.when("__w", now_).otherwise(F.col("last_accessed_at"))}).select(*sessions.columns)
+    return rows.withColumns({"created_at": F.coalesce("created_at", now_), "last_accessed_at": F.when(F.col("__w"), now_).otherwise(F.col("last_accessed_at"))}).select(*sessions.columns)
 
 
 def history(entries: DataFrame, keep: int = 100) -> DataFrame:
@@ -50,6 +50,15 @@ def activity_stats(activity: DataFrame) -> DataFrame:
     return activity.agg(F.count("*").alias("nodes"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), F.coalesce(F.sum(spent), F.lit(0)).alias("total_duration"))
 
 
+def lifecycle(updates: DataFrame) -> DataFrame:
+    """(id, name, status, start_time, end_time, duration) of activities from
+    their updates (id, name, status, time): the latest status, and how long from
+    the first update to one that ends it."""
+    ends = F.col("status").isin("completed", "failed")
+    rows = updates.groupBy("id").agg(F.max_by("name", "time").alias("name"), F.max_by("status", "time").alias("status"), F.min("time").alias("start_time"), F.max(F.when(ends, F.col("time"))).alias("end_time"))
+    return rows.withColumn("duration", F.col("end_time") - F.col("start_time"))
+
+
 def tool_usage(activity: DataFrame) -> DataFrame:
     return activity.where("tool IS NOT NULL").groupBy("tool").agg(F.count("*").alias("uses"))
 

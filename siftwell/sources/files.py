@@ -75,6 +75,11 @@ def changed_contents(spark: SparkSession, root: str, known: DataFrame, **options
     return contents(spark, root, stale).join(known.select("path", "hash"), ["path", "hash"], "left_anti")
 
 
+def paths(spark: SparkSession, root: str, **options) -> DataFrame:
+    """(path): files below root that aren't excluded."""
+    return listing(spark, root, **options).select("path")
+
+
 def by_priority(files: DataFrame, pattern: str) -> DataFrame:
     """Files that match the pattern first, else by path."""
     return files.orderBy(F.when(matches(F.col("path"), pattern), 0).otherwise(1), "path")
