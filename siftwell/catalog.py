@@ -587,7 +587,7 @@ def q_truncated(spark, d):
     return documents(spark, d).select("path", source_files.truncated(F.col("content"), 500).alias("content"))
 
 
-@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]*'), lambda x: length(x) > 2 AND x NOT IN
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z_]\w*'), lambda x: length(x) > 2 AND x NOT IN
     ('break', 'case', 'chan', 'for', 'func', 'make', 'map', 'new', 'nil', 'range', 'real', 'type', 'var', 'error', 'close', 'copy', 'len', 'int', 'cap', 'byte', 'bool', 'import', 'select', 'string', 'struct', 'switch', 'return', 'true', 'false', 'go', 'if', 'else', 'const', 'print', 'delete', 'default', 'append', 'panic', 'goto', 'imag', 'rune', 'interface', 'package', 'complex', 'continue', 'defer', 'fallthrough', 'println', 'recover')))), ',') AS terms FROM documents""")
 def q_related_terms(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.identifiers(F.col("text"), "go")), ",").alias("terms"))

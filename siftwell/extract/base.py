@@ -70,12 +70,16 @@ class Rows:
 DOUBLE = re.compile(r'"([^"]{4,})"')
 SINGLE = re.compile(r"'([^']{4,})'")
 BLOCK_COMMENT = re.compile(r"/\*(.*?)\*/", re.S)
-NAME = r"[A-Za-z_]\w*"
+#: What the words of a pattern stand for.
+_WORDS = {"NAME": r"[A-Za-z_]\w*", "CAPITAL": r"[A-Z]\w*", "LOUD": r"[A-Z_][A-Z0-9_]*", "INNER": r"[^)]+", "REST": r".+", "UNQUOTED": r"""[^"']+""", "QUOTE": r"""["']""", " ": r"\s+", "~": r"\s*"}
 
 
 def compiled(pattern: str, flags: int = 0) -> re.Pattern:
-    """Like the usual compile, with NAME for an identifier and ASCII classes."""
-    return re.compile(pattern.replace("NAME", NAME), flags | re.ASCII)
+    """A pattern with ASCII classes in which a blank is some white space, ~ is
+    perhaps white space, and words in capitals are as above."""
+    for word, text in _WORDS.items():
+        pattern = pattern.replace(word, text)
+    return re.compile(pattern, flags | re.ASCII)
 
 
 def line_at(content: str, offset: int) -> int:

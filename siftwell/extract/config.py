@@ -321,7 +321,8 @@ def _toml_pair(rows: Rows, name: str, table: str, key: str, value: str, at: int)
         rows.define(full, "class", at, 0, f"{key} = {value}", [key, table, "table"])
 
 
-_ENV_PAIR = compiled(r"(?:export\s+)?([A-Z_][A-Z0-9_]*)\s*=\s*(.*)$")
+_ENV_PAIR = compiled(r"(?:export )?(LOUD)~=~(.*)$")
+_ENV_USE = compiled(r"\$\{?(LOUD)\}?")
 
 
 def meaningful_env(value: str) -> bool:
@@ -366,7 +367,7 @@ def extract_env(content: str, path: str) -> Rows:
             rows.define(value, "string", at, line.index("=") + 1, shown, [key, category])
         if "PORT" in key and re.fullmatch(r"[0-9]+", value):
             rows.refer(f"port:{value}", "config", at, context=shown)
-        used = re.search(r"\$\{?([A-Z_][A-Z0-9_]*)\}?", value)
+        used = _ENV_USE.search(value)
         if used:
             rows.refer(used.group(1), "variable", at, context=shown)
         if "http://" in value or "https://" in value:

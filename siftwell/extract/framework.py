@@ -6,7 +6,7 @@ import re
 from typing import NamedTuple
 
 from . import typescript
-from .base import Rows, column_at, line_at
+from .base import Rows, column_at, compiled, line_at
 
 
 class Section(NamedTuple):
@@ -18,6 +18,7 @@ class Section(NamedTuple):
 _SCRIPT = re.compile(r"<script\b[^>]*>(.*?)</script>", re.S)
 _STYLE = re.compile(r"<style\b[^>]*>(.*?)</style>", re.S)
 _TEMPLATE = re.compile(r"<template\b[^>]*>(.*)</template>", re.S)
+_EXPORTED = compiled(r"export (?:class|const|function|let) (\w+)")
 _FRONT = re.compile(r"\A---\n(.*?)\n---", re.S)
 
 
@@ -55,19 +56,19 @@ class Feature(NamedTuple):
 _SCRIPTS = {
     "svelte": [
         Feature(r"(\$(?:bindable|derived|effect|host|inspect|props|state))\b", "{}", "function", "svelte-rune", "rune svelte5 reactive"),
-        Feature(r"\b(afterUpdate|beforeUpdate|onDestroy|onMount|tick)\s*\(", "{}", "svelte-lifecycle", "svelte-lifecycle", refers=True),
-        Feature(r"\b(getAllContexts|getContext|hasContext|setContext)\s*\(", "{}", "svelte-context", "svelte-context-api", refers=True),
-        Feature(r"""from\s+['"]svelte(?:/(\w+))?['"]""", "svelte/{}", "import", "svelte-import", "svelte import"),
-        Feature(r"\$(?!(?:bindable|derived|effect|host|inspect|props|state)\b)([A-Za-z_]\w*)", "{}", "store-subscription", "svelte-store", refers=True),
-        Feature(r"^[ \t]*(\$:)", "$: reactive", "variable", "svelte-reactive-statement", "reactive svelte"),
+        Feature(r"\b(afterUpdate|beforeUpdate|onDestroy|onMount|tick)~\(", "{}", "svelte-lifecycle", "svelte-lifecycle", refers=True),
+        Feature(r"\b(getAllContexts|getContext|hasContext|setContext)~\(", "{}", "svelte-context", "svelte-context-api", refers=True),
+        Feature(r"from QUOTEsvelte(?:/(\w+))?QUOTE", "svelte/{}", "import", "svelte-import", "svelte import"),
+        Feature(r"\$(?!(?:bindable|derived|effect|host|inspect|props|state)\b)(NAME)", "{}", "store-subscription", "svelte-store", refers=True),
+        Feature(r"^~(\$:)", "$: reactive", "variable", "svelte-reactive-statement", "reactive svelte"),
     ],
     "vue": [
-        Feature(r"\b(computed|inject|onMounted|onUnmounted|provide|reactive|ref|watch|watchEffect)\s*\(", "{}", "vue-composition-api", "vue-composition-api", refers=True),
-        Feature(r"\b(defineEmits|defineExpose|defineProps|defineSlots)\s*(?:<[^>]*>)?\s*\(", "{}", "function", "vue-compiler-macro", "vue3 setup composition"),
+        Feature(r"\b(computed|inject|onMounted|onUnmounted|provide|reactive|ref|watch|watchEffect)~\(", "{}", "vue-composition-api", "vue-composition-api", refers=True),
+        Feature(r"\b(defineEmits|defineExpose|defineProps|defineSlots)~(?:<[^>]*>)?~\(", "{}", "function", "vue-compiler-macro", "vue3 setup composition"),
     ],
     "astro": [
         Feature(r"Astro\.(cookies|glob|params|props|redirect|request|response|slots)", "Astro.{}", "astro-global", "astro-global", refers=True),
-        Feature(r"interface\s+(Props)\s*\{", "{}", "interface", "astro-props-interface", "astro component props"),
+        Feature(r"interface (Props)~\{", "{}", "interface", "astro-props-interface", "astro component props"),
     ],
 }
 _TEMPLATES = {
@@ -76,7 +77,7 @@ _TEMPLATES = {
         Feature(r"\bbind:(\w+)", "{}", "variable", "svelte-bind", "svelte bind"),
         Feature(r"\bon:(\w+)", "{}", "variable", "svelte-event", "svelte event"),
         Feature(r"\buse:(\w+)", "{}", "variable", "svelte-action", "svelte action"),
-        Feature(r"\{[#@/:](\w+)(?:\s+[^}]+)?\}", "{{#{}}}", "function", "svelte-directive", "svelte template directive"),
+        Feature(r"\{[:/@#](\w+)(?: [^}]+)?\}", "{{#{}}}", "function", "svelte-directive", "svelte template directive"),
     ],
     "vue": [
         Feature(r"\{\{([^}]+)\}\}", "{}", "variable", "vue-interpolation", "vue interpolation"),
@@ -92,14 +93,14 @@ _TEMPLATES = {
 }
 _STYLES = [
     Feature(r"\.(-?[A-Za-z_][\w-]*)(?=[^{};]*\{)", ".{}", "string", "css-class", "css class style"),
-    Feature(r"(--[A-Za-z][\w-]*)\s*:", "{}", "variable", "css-variable", "css custom-property variable"),
+    Feature(r"(--[A-Za-z][\w-]*)~:", "{}", "variable", "css-variable", "css custom-property variable"),
 ]
-_COMPONENT = Feature(r"<([A-Z][A-Za-z0-9]*)", "{}", "instantiation", "component", refers=True)
+_COMPONENT = Feature(r"<(CAPITAL)", "{}", "instantiation", "component", refers=True)
 
 
 def _apply(rows: Rows, section: Section, features: list[Feature]) -> None:
     for f in features:
-        for m in re.finditer(f.pattern, section.content, re.M):
+        for m in compiled(f.pattern, re.M).finditer(section.content):
             name = (m.group(1) or "core").strip()
             term = f.term.format(name)
             at = section.line - 1 + line_at(section.content, m.start())
@@ -134,6 +135,6 @@ def extract(content: str, path: str) -> Rows:
             _apply(rows, s, _STYLES)
     name = component_name(path)
     if name:
-        exports = [x for s in parts if s.kind == "script" for x in re.findall(r"export\s+(?:let|const|function|class)\s+(\w+)", s.content)]
+        exports = [x for s in parts if s.kind == "script" for x in _EXPORTED.findall(s.content)]
         rows.define(name, "class", 1, 0, f"{kind} component: {name}", exports, first=True)
     return rows

@@ -7,15 +7,15 @@ import re
 from ..functions.text import KEYWORDS
 from .base import DOUBLE, SINGLE, Rows, compiled
 
-_DEF = compiled(r"(\s*)(?:async\s+)?def\s+(NAME)\s*\(")
-_CLASS = compiled(r"(\s*)class\s+(NAME)\s*(?:\(([^)]*)\))?:")
-_ASSIGN = compiled(r"(\s*)(NAME)\s*(?::\s*[^=]+)?\s*=\s*(?!=)(.+)")
-_IMPORT = compiled(r"\s*(?:from\s+([\w.]+)\s+)?import\s+(.+)")
-_DECORATOR = compiled(r"\s*@(NAME)")
-_CALL = compiled(r"(NAME(?:\.NAME)*)\s*\(")
-_NEW = compiled(r"([A-Z]\w*)\s*\(")
+_DEF = compiled(r"(~)(?:async )?def (NAME)~\(")
+_CLASS = compiled(r"(~)class (NAME)~(?:\((INNER)?\))?:")
+_ASSIGN = compiled(r"(~)(NAME)~(?::~[^=]+)?~=~(?!=)(REST)")
+_IMPORT = compiled(r"~(?:from ([\w.]+) )?import (REST)")
+_DECORATOR = compiled(r"~@(NAME)")
+_CALL = compiled(r"(NAME(?:\.NAME)*)~\(")
+_NEW = compiled(r"(CAPITAL)~\(")
 _STRINGS = [compiled(r'"""([^"]+)"""'), compiled(r"'''([^']+)'''"), DOUBLE, SINGLE]
-_QUOTES = compiled(r"""\s*(\"\"\"|''')""")
+_QUOTES = compiled(r"""~(\"\"\"|''')""")
 
 
 def extract(content: str, path: str) -> Rows:

@@ -5,21 +5,21 @@ from __future__ import annotations
 from ..functions.text import KEYWORDS
 from .base import DOUBLE, Depth, Rows, compiled
 
-_PUB = r"\s*(?:pub(?:\([^)]*\))?\s+)?"
-_MOD = compiled(_PUB + r"mod\s+(NAME)")
-_USE = compiled(_PUB + r"use\s+(.+?);")
-_FN = compiled(_PUB + r'(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+(?:"[^"]+"\s+)?)?fn\s+(NAME)')
-_ITEM = compiled(_PUB + r"(struct|enum|trait)\s+(NAME)")
-_ALIAS = compiled(_PUB + r"type\s+(NAME)\s*(?:<[^>]*>)?\s*=")
-_IMPL = compiled(r"\s*impl(?:<[^>]+>)?\s+(?:(NAME)(?:<[^>]*>)?\s+for\s+)?(NAME)")
-_CONST = compiled(_PUB + r"(?:const|static)\s+(?:mut\s+)?([A-Z_][A-Z0-9_]*):")
-_LET = compiled(r"\s*let\s+(?:mut\s+)?(NAME)")
-_MACRO = compiled(_PUB + r"macro(?:_rules)?!\s+(NAME)")
-_CALL = compiled(r"(NAME(?:::NAME)*)\s*\(")
+_PUB = r"~(?:pub(?:\(INNER\))? )?"
+_MOD = compiled(_PUB + r"mod (NAME)")
+_USE = compiled(_PUB + r"use (REST?);")
+_FN = compiled(_PUB + r'(?:const )?(?:async )?(?:unsafe )?(?:extern (?:"[^"]+" )?)?fn (NAME)')
+_ITEM = compiled(_PUB + r"(struct|enum|trait) (NAME)")
+_ALIAS = compiled(_PUB + r"type (NAME)~(?:<[^>]*>)?~=")
+_IMPL = compiled(r"~impl(?:<[^>]+>)? (?:(NAME)(?:<[^>]*>)? for )?(NAME)")
+_CONST = compiled(_PUB + r"(?:const|static) (?:mut )?(LOUD):")
+_LET = compiled(r"~let (?:mut )?(NAME)")
+_MACRO = compiled(_PUB + r"macro(?:_rules)?! (NAME)")
+_CALL = compiled(r"(NAME(?:::NAME)*)~\(")
 _BANG = compiled(r"(NAME)!(?!=)")
-_PATH = compiled(r"([A-Z]\w*)\s*::")
-_DERIVE = compiled(r"#\[derive\(([^)]+)\)\]")
-_DOC = compiled(r"\s*///(?!/)\s?(.*)")
+_PATH = compiled(r"(CAPITAL)~::")
+_DERIVE = compiled(r"#\[derive\((INNER)\)\]")
+_DOC = compiled(r"~///(?!/)\s?(.*)")
 BUILT_IN_MACROS = frozenset("assert assert_eq assert_ne dbg debug_assert eprint eprintln format macro_rules panic print println todo unimplemented unreachable vec write writeln".split())
 
 

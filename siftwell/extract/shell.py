@@ -22,19 +22,19 @@ COMMON = frozenset(
     uniq unzip update-alternatives useradd userdel w watch wc wget whereis which who whoami xargs xz yarn yum zip zypper""".split()
 )
 _WORDS = frozenset("after at be before by from in into is it of on over to with".split())
-_WELL_KNOWN = compiled(r"(BASH_\w*|COLUMNS|FUNCNAME|HOME|HOSTNAME|IFS|LANG|LINENO|LINES|MACHTYPE|OLDPWD|OPTARG|OPTIND|OSTYPE|PATH|PS[1-4]|PWD|RANDOM|REPLY|SECONDS|SHELL|SHLVL|TERM|USER|ZSH_\w*)")
-_HEREDOC = compiled(r"""<<\s*-?\s*(['"]?)([A-Za-z_]+)\1""")
-_FUNCTION = compiled(r"\s*(?:function\s+)?(NAME)\s*\(\s*\)\s*(?:\{.*)?$|\s*function\s+(NAME)\s*\{")
-_VARIABLE = compiled(r"\s*(?:export\s+|readonly\s+|local\s+)?(NAME)=(.*)$")
-_ALIAS = compiled(r"""\s*alias\s+([\w-]+)=['"](.+)['"]""")
-_SOURCE = compiled(r"""\s*(?:source|\.)\s+["']?([^"'\s]+)["']?""")
-_COMMAND = compiled(r"\s*([A-Za-z_][\w-]+)(?:\s*\(\s*\)|\s*$|\s+[^=|&<>\s])")
+_WELL_KNOWN = re.compile(r"(BASH_\w*|COLUMNS|FUNCNAME|HOME|HOSTNAME|IFS|LANG|LINENO|LINES|MACHTYPE|OLDPWD|OPTARG|OPTIND|OSTYPE|PATH|PS[1-4]|PWD|RANDOM|REPLY|SECONDS|SHELL|SHLVL|TERM|USER|ZSH_\w*)")
+_HEREDOC = compiled(r"<<~-?~(QUOTE?)([A-Za-z_]+)\1")
+_FUNCTION = compiled(r"~(?:function )?(NAME)~\(~\)~(?:\{.*)?$|~function (NAME)~\{")
+_VARIABLE = compiled(r"~(?:export |readonly |local )?(NAME)=(.*)$")
+_ALIAS = compiled(r"~alias ([\w-]+)=QUOTE(REST)QUOTE")
+_SOURCE = compiled(r"~(?:source|\.) QUOTE?((?:(?!QUOTE)\S)+)")
+_COMMAND = compiled(r"~([A-Za-z_][\w-]+)(?:~\(~\)|~$| [^=|&<>\s])")
 _SUBSTITUTED = [compiled(r"\$\(([A-Za-z_][\w-]+)(?=[\s)])"), compiled(r"`([A-Za-z_][\w-]+)(?=[\s`])")]
 _USED = compiled(r"\$\{?([A-Za-z_]\w+)\}?")
-_CASE = compiled(r"\s*case\s+(.+)\s+in\s*$")
-_LOOP = compiled(r"\s*(for|while|until)\s+(.+)")
-_OPTIONS = compiled(r"""\s*while\s+getopts\s+["']([^"']+)["']""")
-_TRAP = compiled(r"""\s*trap\s+['"]([^'"]+)['"]\s+(.+)""")
+_CASE = compiled(r"~case (REST) in~$")
+_LOOP = compiled(r"~(until|for|while) (REST)")
+_OPTIONS = compiled(r"~while getopts QUOTE(UNQUOTED)QUOTE")
+_TRAP = compiled(r"~trap QUOTE(UNQUOTED)QUOTE (REST)")
 
 
 def meaningful(value: str) -> bool:

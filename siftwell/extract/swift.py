@@ -5,19 +5,19 @@ from __future__ import annotations
 from ..functions.text import KEYWORDS, python_meaningful
 from .base import DOUBLE, Depth, Rows, block_comments, compiled
 
-_ATTRIBUTES = r"\s*(?:@[A-Za-z]+(?:\([^)]*\))?\s+)*"
-_ACCESS = r"(?:(?:private|public|internal|fileprivate|open)(?:\(set\))?\s+)?"
-_MEMBER = r"(?:(?:static|class|override|final|mutating|nonmutating|lazy|weak|unowned|convenience|required)\s+)*"
-_IMPORT = compiled(r"\s*(?:@testable\s+)?import\s+(NAME)")
-_FUNC = compiled(_ATTRIBUTES + _ACCESS + _MEMBER + r"func\s+(NAME)")
-_KIND = compiled(_ATTRIBUTES + _ACCESS + r"(?:final\s+|indirect\s+)?(class|struct|protocol|enum|actor)\s+(?!func\b|var\b|let\b)(NAME)")
-_EXTENSION = compiled(_ATTRIBUTES + _ACCESS + r"extension\s+(NAME)")
-_PROPERTY = compiled(_ATTRIBUTES + _ACCESS + _MEMBER + r"(let|var)\s+(NAME)")
-_BUILDER = compiled(r"@(IBOutlet|IBAction)\s+(?:weak\s+)?(?:var|func)\s+(NAME)")
-_WRAPPER = compiled(r"@(State|Binding|ObservedObject|StateObject|EnvironmentObject|Environment|Published)(?:\([^)]*\))?\s+(?:private\s+)?var\s+(NAME)")
-_BASES = compiled(r":\s*([^{]+)")
-_CALL = compiled(r"(NAME)\s*\(")
-_NEW = compiled(r"([A-Z]\w*)\s*\(")
+_ATTRIBUTES = r"~(?:@[A-Za-z]+(?:\(INNER\))? )*"
+_ACCESS = r"(?:(?:fileprivate|internal|open|private|public)(?:\(set\))? )?"
+_MEMBER = r"(?:(?:class|convenience|final|lazy|mutating|nonmutating|override|required|static|unowned|weak) )*"
+_IMPORT = compiled(r"~(?:@testable )?import (NAME)")
+_FUNC = compiled(_ATTRIBUTES + _ACCESS + _MEMBER + r"func (NAME)")
+_KIND = compiled(_ATTRIBUTES + _ACCESS + r"(?:final |indirect )?(class|struct|protocol|enum|actor) (?!func\b|var\b|let\b)(NAME)")
+_EXTENSION = compiled(_ATTRIBUTES + _ACCESS + r"extension (NAME)")
+_PROPERTY = compiled(_ATTRIBUTES + _ACCESS + _MEMBER + r"(let|var) (NAME)")
+_BUILDER = compiled(r"@(IBAction|IBOutlet) (?:weak )?(?:func|var) (NAME)")
+_WRAPPER = compiled(r"@(Binding|EnvironmentObject|Environment|ObservedObject|Published|StateObject|State)(?:\(INNER\))? (?:private )?var (NAME)")
+_BASES = compiled(r":~([^{]+)")
+_CALL = compiled(r"(NAME)~\(")
+_NEW = compiled(r"(CAPITAL)~\(")
 
 
 def extract(content: str, path: str) -> Rows:

@@ -307,13 +307,13 @@ def extract(content: str, path: str) -> Rows:
 
 
 _BY_LINE = [
-    compiled(r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(NAME)"),
-    compiled(r"(?:const|let|var)\s+(NAME)\s*=\s*(?:async\s*)?(?:\([^)]*\)|NAME)\s*=>"),
-    compiled(r"^\s*(?:async\s+)?(NAME)\s*\([^)]*\)\s*\{"),
+    compiled(r"(?:export )?(?:default )?(?:async )?function~\*?~(NAME)"),
+    compiled(r"(?:const|let|var) (NAME)~=~(?:async~)?(?:\((?:INNER)?\)|NAME)~=>"),
+    compiled(r"^~(?:async )?(NAME)~\((?:INNER)?\)~\{"),
 ]
-_CLASS_LINE = compiled(r"class\s+(NAME)")
+_CLASS_LINE = compiled(r"class (NAME)")
 _QUOTED = compiled(r"""["'`]([^"'`]{4,})["'`]""")
-_COMMENT_LINE = compiled(r"//\s*(.+)|/\*\s*(.+?)\s*\*/")
+_COMMENT_LINE = compiled(r"//~(REST)|/\*~(REST?)~\*/")
 
 
 def by_lines(content: str) -> Rows:

@@ -40,7 +40,7 @@ KEYWORDS: dict[str, frozenset[str]] = {
         public return static string super switch this throw true try type typeof undefined var void while with yield""".split()
     ),
 }
-IDENTIFIER = {"typescript": r"[a-zA-Z_$][a-zA-Z0-9_$]*"}
+IDENTIFIER = {"typescript": r"[A-Za-z_$][\w$]*"}
 
 
 def meaningful(value: Column) -> Column:
@@ -63,7 +63,7 @@ def meaningful_json(value: Column) -> Column:
 def identifiers(text: Column, language: str = "python") -> Column:
     """Distinct identifiers longer than 2 in order of appearance, without the
     language's keywords."""
-    pattern = IDENTIFIER.get(language, "[a-zA-Z_][a-zA-Z0-9_]*")
+    pattern = IDENTIFIER.get(language, r"[A-Za-z_]\w*")
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     return F.filter(F.array_except(found, F.array(*[F.lit(k) for k in sorted(KEYWORDS[language])])), lambda x: F.length(x) > 2)
 
@@ -155,7 +155,7 @@ def pascal_case(name: Column) -> Column:
 
 
 def exported_names(content: Column) -> Column:
-    return F.regexp_extract_all(content, F.lit(r"export\s+(?:let|const|function|class)\s+(\w+)"), F.lit(1))
+    return F.regexp_extract_all(content, F.lit(r"export\s+(?:class|const|function|let)\s+(\w+)"), F.lit(1))
 
 
 def short_path(path: Column) -> Column:
@@ -253,5 +253,5 @@ def python_meaningful(value: str) -> bool:
 
 
 def python_identifiers(text: str, language: str) -> list[str]:
-    found = re.findall(IDENTIFIER.get(language, "[a-zA-Z_][a-zA-Z0-9_]*"), text)
+    found = re.findall(IDENTIFIER.get(language, r"[A-Za-z_]\w*"), text, re.ASCII)
     return [x for x in dict.fromkeys(found) if len(x) > 2 and x not in KEYWORDS[language]]

@@ -133,7 +133,7 @@ def signature(context: Column, kind: Column) -> Column:
     """The declaring part of a line, by type."""
     first = lambda *ps: F.coalesce(*[F.nullif(F.regexp_extract(context, p, 0), F.lit("")) for p in ps], F.trim(context))
     return (
-        F.when(kind == "function", first(r"(?:async\s+)?(?:function|def|func|fn)\s+\w+\s*\([^)]*\)(?:\s*(?:->|:)\s*[\w<>\[\], ]+)?", r"\w+\s*[:=]\s*(?:async\s*)?\([^)]*\)\s*=>"))
+        F.when(kind == "function", first(r"(?:async\s+)?(?:function|def|func|fn)\s+\w+\s*[(][^)]*[)](?:\s*(?:->|:)\s*[\w<>\[\], ]+)?", r"\w+\s*[:=]\s*(?:async\s*)?\([^)]*\)\s*=>"))
         .when(kind.isin("class", "interface"), first(r"(?:class|interface|struct|trait|protocol|enum|type)\s+\w+(?:[^{:]*)?"))
         .when(kind.isin("variable", "constant"), first(r"(?:const|let|var|static|final)\s+\w+(?:\s*:\s*[\w<>\[\]]+)?", r"\w+\s*(?::\s*\w+)?\s*="))
         .otherwise(F.trim(context))

@@ -49,7 +49,7 @@ def smart_split(term: str) -> list[str]:
     """Parts in small letters: at case changes, _ and -, and dots that don't
     start a file extension; longer than 1, distinct."""
     text = re.sub("([a-z])([A-Z])", r"\1|\2", term)
-    text = re.sub(r"\.(?![a-z]{2,4}$)", "|", re.sub("[_-]", "|", text))
+    text = re.sub(r"[.](?![a-z]{2,4}$)", "|", re.sub("[_-]", "|", text))
     parts = (p.strip().lower() for p in text.split("|"))
     return list(dict.fromkeys(p for p in parts if len(p) > 1))
 
@@ -57,7 +57,7 @@ def smart_split(term: str) -> list[str]:
 def smart_split_column(term: Column) -> Column:
     """smart_split() as a column."""
     text = F.regexp_replace(F.regexp_replace(term, "([a-z])([A-Z])", "$1|$2"), "[_-]", "|")
-    parts = F.split(F.regexp_replace(text, r"\.(?![a-z]{2,4}$)", "|"), r"\|")
+    parts = F.split(F.regexp_replace(text, r"[.](?![a-z]{2,4}$)", "|"), r"\|")
     return F.array_distinct(F.filter(F.transform(parts, lambda p: F.lower(F.trim(p))), lambda p: F.length(p) > 1))
 
 
