@@ -9,7 +9,6 @@ from .extract import registry
 from .functions.groups import all_groups, groups_table
 from .operators import changes as C
 from .operators import overview, references, search, tree
-from .operators.postings import postings
 from .plans import grammar
 from .sources import files, git
 from .sources.store import Store
@@ -81,7 +80,7 @@ class Engine:
         return self.store.load("refs")
 
     def postings(self) -> DataFrame:
-        return postings(self.definitions)
+        return self.store.load("postings")
 
     def search(self, query: str, **options) -> DataFrame:
         """Results of a query in the query language; options as of grammar.run()."""

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Column of a definition that postings carry beside the keys.
-CARRIED = ("entry_seq", "term", "type", "file", "line")
-
-
 def partial_keys(term: Column, camel: bool = False) -> Column:
     """Keys a term is also found by: its parts between _ and between -, longer
     than 2. camel: parts between a small and a capital letter too."""
@@ -30,10 +26,15 @@ def postings(definitions: DataFrame, camel: bool = False) -> DataFrame:
     """
     keys = F.concat(F.array(F.lower("term")), partial_keys(F.col("term"), camel))
     rows = definitions.select("*", F.posexplode(keys).alias("part", "key"))
-    first = Window.partitionBy("key", F.when(F.col("part") > 0, F.col("term")), F.when(F.col("part") > 0, F.col("line")), F.col("part") > 0).orderBy("entry_seq", "part")
-    kept = rows.withColumn("__n", F.when(F.col("part") > 0, F.row_number().over(first)).otherwise(1)).where("__n = 1").drop("__n")
-    place = F.min(F.struct("entry_seq", "part")).over(Window.partitionBy("key"))
-    return kept.withColumn("__k", place).withColumns({"key_entry": F.col("__k.entry_seq"), "key_part": F.col("__k.part")}).drop("__k")
+    # A whole posting is alone in its window, so a frequent term makes no large
+    # one; and as only first rows stay, others are dropped before the shuffle.
+    alone = F.when(F.col("part") == 0, F.col("entry_seq"))
+    first = Window.partitionBy("key", "term", "line", alone).orderBy("entry_seq", "part")
+    kept = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    # Likewise the key's first posting comes from an aggregation, not a window.
+    place = kept.groupBy(F.col("key").alias("__key")).agg(F.min(F.struct("entry_seq", "part")).alias("__k"))
+    joined = kept.join(place, F.col("key") == F.col("__key"))
+    return joined.withColumns({"key_entry": F.col("__k.entry_seq"), "key_part": F.col("__k.part")}).drop("__k", "__key")
 
 
 def top_terms(index: DataFrame, limit: int = 100) -> DataFrame:

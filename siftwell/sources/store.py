@@ -14,7 +14,8 @@ from ..operators.overview import stats
 from ..operators.postings import postings, top_terms
 from ..schema import DEFINITIONS, FILE_NODES, REFS
 
-TABLES = {"definitions": DEFINITIONS, "refs": REFS, "files": "path string, size long, mtime timestamp, hash string", "nodes": FILE_NODES}
+POSTINGS = DEFINITIONS + ", part int, key string, key_entry long, key_part int"
+TABLES = {"definitions": DEFINITIONS, "refs": REFS, "files": "path string, size long, mtime timestamp, hash string", "nodes": FILE_NODES, "postings": POSTINGS}
 
 
 class Store:
@@ -36,11 +37,19 @@ class Store:
         return self.spark.read.text(str(path.toString())).first()[0]
 
     def save(self, **tables: DataFrame) -> str:
-        """Write a new version; tables that aren't given are carried over."""
+        """Write a new version; tables that aren't given are carried over.
+
+        Postings are derived from the definitions as they were written, in
+        ranges of keys, so that the statistics in their files let a search by
+        key or prefix skip most of them."""
         name, old = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}", self.version()
         for table in TABLES:
             df = tables.get(table)
-            if df is None and old:
+            if table == "postings" and "definitions" in tables:
+                schema = self.spark.createDataFrame([], DEFINITIONS).schema
+                written = self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/definitions")
+                df = postings(written).repartitionByRange("key").sortWithinPartitions("key", "entry_seq")
+            elif df is None and old:
                 df = self.load(table)
             if df is not None:
                 writer = df.write.mode("overwrite")
