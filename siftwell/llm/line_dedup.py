@@ -12,6 +12,9 @@ from . import kernels as K
 from .common import measured, near_components, written
 
 WIDTH, BANDS, ROWS, THRESHOLD = 8, 8, 4, 0.8
+#: Of a pair's signature coordinates so many parts must agree before its lines
+#: are compared. At the threshold of 0.8, half of 32 fail to with 3e-5.
+AGREE = 0.5
 PIECE = 1 << 19
 
 
@@ -28,7 +31,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _signed(width: int, bands: int, rows: int):
-    """Adds the band keys to the first of each line in a batch."""
+    """Adds, to the first of each line in a batch, its band keys and a byte of
+    each signature coordinate."""
 
     def run(batches):
         for batch in batches:
@@ -37,25 +41,34 @@ def _signed(width: int, bands: int, rows: int):
             first.sort()
             raw, off = K.string_buffers(batch.column(4).take(pa.array(first)))
             keys = np.zeros((len(first), bands), np.int64)
+            marks = np.zeros((len(first), bands * rows), np.uint8)
             for i, j in K.pieces(off, PIECE):
                 values, starts, count = K.char_shingles(raw[off[i] : off[j]], off[i : j + 1] - off[i], width)
-                keys[i:j] = K.band_keys(K.minhash(values, starts, count, bands * rows), bands)
+                sig = K.minhash(values, starts, count, bands * rows)
+                keys[i:j], marks[i:j] = K.band_keys(sig, bands), (sig * np.uint32(2654435769)) >> np.uint32(24)
             ends = np.zeros(len(line) + 1, np.int32)
             ends[first + 1] = bands
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], ["doc_id", "tid", "line_no", "line", "keys"])
+            spread = np.zeros(len(line) + 1, np.int32)
+            spread[first + 1] = bands * rows
+            cuts = np.cumsum(spread, dtype=np.int32)
+            short = pa.Array.from_buffers(pa.binary(), len(line), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(marks.tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists, short], ["doc_id", "tid", "line_no", "line", "keys", "marks"])
 
     return run
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values.sort()
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
 def _jaccard(width: int):
     def pairwise(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
-        sides = []
-        for x in (a, b):
-            raw, off = K.string_buffers(x)
-            sides.append((raw, off))
-        (ra, oa), (rb, ob) = sides
+        (ra, oa), (rb, ob) = K.string_buffers(a), K.string_buffers(b)
         i, n = 0, len(oa) - 1
         while i < n:
             j = i + 1
@@ -64,10 +77,10 @@ def _jaccard(width: int):
             va, sa, ca = K.char_shingles(ra[oa[i] : oa[j]], oa[i : j + 1] - oa[i], width)
             vb, sb, cb = K.char_shingles(rb[ob[i] : ob[j]], ob[i : j + 1] - ob[i], width)
             for k in range(j - i):
-                x, y = np.unique(va[sa[k] : sa[k] + ca[k]]), np.unique(vb[sb[k] : sb[k] + cb[k]])
+                x, y = _distinct(va[sa[k] : sa[k] + ca[k]]), _distinct(vb[sb[k] : sb[k] + cb[k]])
                 both = np.concatenate((x, y))
                 both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
+                common = np.count_nonzero(both[1:] == both[:-1])
                 out.append(common / max(1, len(both) - common))
             i = j
         return pa.array(out, pa.float64())
@@ -75,22 +88,34 @@ def _jaccard(width: int):
     return F.arrow_udf(pairwise, "double")
 
 
-def line_components(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def _agreement(length: int):
+    def share(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, length) for s in (a, b))
+        return pa.array((x == y).mean(axis=1))
+
+    return F.arrow_udf(share, "double")
+
+
+def line_components(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, agree: float = AGREE) -> tuple[DataFrame, DataFrame]:
     """All lines (doc_id, tid, line_no, line) and (id, root) of the near ones,
     where line, id and root are 64-bit hashes of trimmed lines."""
     named = _lines(docs).select("doc_id", "tid", "line_no", F.xxhash64("line").alias("line"), F.col("line").alias("words"))
-    signed = written(named.mapInArrow(_signed(width, bands, rows), "doc_id long, tid long, line_no int, line long, keys array<long>"), "lines")
+    signed = written(named.mapInArrow(_signed(width, bands, rows), "doc_id long, tid long, line_no int, line long, keys array<long>, marks binary"), "lines")
     banded = signed.where(F.size("keys") > 0).select(F.col("line").alias("id"), F.explode("keys").alias("key"))
-    jaccard = _jaccard(width)
+    jaccard, agreement = _jaccard(width), _agreement(bands * rows)
+    marked = signed.where(F.length("marks") > 0).groupBy(F.col("line").alias("id")).agg(F.max("marks").alias("marks"))
 
     def verify(pairs: DataFrame) -> DataFrame:
+        m = written(marked.join(measured(written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"), 8), "id", "left_semi"), "marks")
+        alike = pairs.join(m.withColumnsRenamed({"id": "a", "marks": "ma"}), "a").join(m.withColumnsRenamed({"id": "b", "marks": "mb"}), "b")
+        pairs = written(alike.where(agreement("ma", "mb") >= agree).select("a", "b"), "alike")
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
         texts = named.select(F.col("line").alias("id"), "words").join(measured(ids, 8), "id", "left_semi").groupBy("id").agg(F.min("words").alias("words"))
         texts = written(texts, "texts")
         left, right = texts.withColumnsRenamed({"id": "a", "words": "wa"}), texts.withColumnsRenamed({"id": "b", "words": "wb"})
         return pairs.join(left, "a").join(right, "b").where(jaccard("wa", "wb") >= threshold).select("a", "b")
 
-    return signed.drop("keys"), near_components(banded, verify)
+    return signed.drop("keys", "marks"), near_components(banded, verify)
 
 
 def drop_near_lines(docs: DataFrame, **params) -> DataFrame:
@@ -103,8 +128,8 @@ def drop_near_lines(docs: DataFrame, **params) -> DataFrame:
     shingle, so near only to itself. Groups are the connected components over
     the whole table. Of each, the line of the least (doc_id, line number)
     stays. A pair at the threshold shares one of 8 bands of 4 with 0.985, at
-    0.9 with 0.9999; shared bands are verified on the full sets. Lines are told
-    apart by a 64-bit hash.
+    0.9 with 0.9999; pairs that share one, and agree in half of the signature,
+    are verified on the full sets. Lines are told apart by a 64-bit hash.
 
     A row with a null doc_id or a null text is passed on as it is (its counts
     are null) and keeps others from nothing. Rows that repeat doc_id and text
