@@ -77,3 +77,46 @@ def references(tagged: DataFrame) -> DataFrame:
 
 def errors(tagged: DataFrame) -> DataFrame:
     return tagged.where("tag = 'error'").select("file", F.col("language").alias("format"), F.col("term").alias("message"))
+
+
+class ExtractDefinitions:
+    """UDTF extract_definitions(path, content) for lateral joins in SQL."""
+
+    def eval(self, path: str, content: str):
+        rows = extract_file(path, content) if content is not None else None
+        for d in rows.definitions if rows else ():
+            yield d["term"], d["type"], d["line"], d["column"], d["context"], d["language"]
+
+
+class ExtractReferences:
+    """UDTF extract_references(path, content) for lateral joins in SQL."""
+
+    def eval(self, path: str, content: str):
+        rows = extract_file(path, content) if content is not None else None
+        for r in rows.references if rows else ():
+            yield r["target_term"], r["reference_type"], r["line"], r["column"], r["context"]
+
+
+def register(spark) -> None:
+    """Makes both table functions known to a session's SQL."""
+    spark.udtf.register("extract_definitions", F.udtf(ExtractDefinitions, returnType="term string, type string, line int, column int, context string, language string"))
+    spark.udtf.register("extract_references", F.udtf(ExtractReferences, returnType="target_term string, reference_type string, line int, column int, context string"))
+
+
+def transformed(files: DataFrame, apply: Callable[[str, str], str | None]) -> DataFrame:
+    """(path, result) of a function over files (path, content); a file on which
+    it fails has no row."""
+
+    def run(batches):
+        for batch in batches:
+            paths, results = [], []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    result = apply(path, content)
+                except Exception:  # left out, as the contract says
+                    continue
+                paths.append(path)
+                results.append(result)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(results, pa.string())], ["path", "result"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, result string")

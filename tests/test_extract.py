@@ -109,3 +109,20 @@ def test_files_to_tables(spark):
     assert d.select("entry_seq").distinct().count() == 12
     terms = [x["term"] for x in d.orderBy("entry_seq").collect()]
     assert terms[:3] == ["TODO: fix this thing", "os", "system"]
+
+
+def test_table_functions_in_sql(spark):
+    from siftwell.extract import registry
+
+    registry.register(spark)
+    spark.createDataFrame([("a.py", "class A(B):\n    pass\n"), ("b.zzz", "x"), ("c.py", None)], "path string, content string").createOrReplaceTempView("sources")
+    d = spark.sql("SELECT s.path, d.term, d.type FROM sources s, LATERAL extract_definitions(s.path, s.content) d").collect()
+    r = spark.sql("SELECT r.target_term, r.reference_type FROM sources s, LATERAL extract_references(s.path, s.content) r").collect()
+    assert [tuple(x) for x in d] == [("a.py", "A", "class")] and ("B", "extends") in [tuple(x) for x in r]
+
+
+def test_transformed_leaves_failures_out(spark):
+    from siftwell.extract import registry
+
+    files = spark.createDataFrame([("a", "1"), ("b", "x")], "path string, content string")
+    assert [tuple(r) for r in registry.transformed(files, lambda p, c: str(int(c) + 1)).collect()] == [("a", "2")]
