@@ -14,7 +14,7 @@ from . import kernels as K
 
 #: Bounds of the sample of labelled rows, and of the pool of unlabelled ones,
 #: on which the two classifiers are fitted. Scoring covers all documents.
-LABELLED, POOL = 6000, 4000
+LABELLED, POOL = 4000, 3000
 DIMENSIONS, ROUNDS, PER_ROUND, KEEP_AT, SALT = 2048, 4, 250, 0.5, "co-training"
 PIECE = 1 << 20
 
@@ -41,21 +41,29 @@ def _trigrams(raw: np.ndarray, off: np.ndarray, dims: int) -> tuple[np.ndarray,
     return code[at], counts
 
 
-META = 14
+LAYOUT = 6
+META = 8 + LAYOUT
+_KIND = np.zeros((4, 256), np.int64)
+for _k, _chars in enumerate((b"\n", b" \n\t", b"|#*$%&!<>{}=~^_", b".,;:?")):
+    _KIND[_k, list(_chars)] = 1
 
 
-def metadata(docs: DataFrame) -> list[Column]:
-    """The other view: what is known of a document beside its wording, namely
-    its language and source (hashed), length and layout."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    n = F.greatest(F.length(text), F.lit(1)).cast("double")
-    lines = F.length(text) - F.length(F.translate(text, "\n", "")) + 1
+def layout_features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Rows x LAYOUT: length, lines, length of a line, and the shares of space,
+    of symbols and of punctuation."""
+    sums = []
+    for kind in _KIND:
+        total = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum(kind[raw], out=total[1:])
+        sums.append(total[off[1:]] - total[off[:-1]])
+    n, lines = np.maximum(np.diff(off), 1).astype(float), sums[0] + 1.0
+    return np.stack([np.log(n) / 10, np.log(lines) / 5, np.log(n / lines) / 8, sums[1] / n * 3, sums[2] / n * 5, sums[3] / n * 5], axis=1)
+
+
+def named_features(docs: DataFrame) -> list[Column]:
+    """Language and source, hashed to four values each."""
     has = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
-    share = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))) / n
-    lang = [F.when(F.pmod(F.xxhash64(has("lang")), F.lit(4)) == k, 1.0).otherwise(0.0) for k in range(4)]
-    source = [F.when(F.pmod(F.xxhash64(has("source")), F.lit(4)) == k, 1.0).otherwise(0.0) for k in range(4)]
-    layout = [F.log(n) / 10, F.log(lines.cast("double")) / 5, F.log(n / lines) / 8, share(" \n\t") * 3, share("|#*$%&!<>{}=~^_") * 5, share(".,;:?") * 5]
-    return lang + source + layout
+    return [F.when(F.pmod(F.xxhash64(has(c)), F.lit(4)) == k, 1.0).otherwise(0.0) for c in ("lang", "source") for k in range(4)]
 
 
 @dataclass
@@ -76,16 +84,21 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-4, steps: int = 300, rate: float = 0.1) -> Logistic:
-    """Logistic regression by full-batch Adam, both classes of equal weight."""
-    w, bias = np.zeros(x.shape[1]), 0.0
-    weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    m = v = np.zeros(x.shape[1] + 1)
+def fit_logistic(x: np.ndarray, y: np.ndarray, use: np.ndarray | None = None, start: Logistic | None = None, decay: float = 1e-4, steps: int = 200, rate: float = 0.15) -> Logistic:
+    """Logistic regression by full-batch Adam on the rows in use, both classes
+    of equal weight, from another model's weights if one is given."""
+    x, use = x.astype(np.float32, copy=False), np.ones(len(y), bool) if use is None else use
+    one, zero = use & (y == 1), use & (y == 0)
+    weight = np.where(one, 0.5 / max(one.sum(), 1), np.where(zero, 0.5 / max(zero.sum(), 1), 0)).astype(np.float32)
+    target = one.astype(np.float32)
+    w = np.zeros(x.shape[1], np.float32) if start is None else start.weights.copy()
+    bias = np.float32(0 if start is None else start.bias)
+    m = v = np.zeros(x.shape[1] + 1, np.float32)
     for t in range(1, steps + 1):
-        error = (_sigmoid(x @ w + bias) - y) * weight
-        grad = np.append(error @ x + decay * w, error.sum())
+        error = (_sigmoid(x @ w + bias) - target) * weight
+        grad = np.append(error @ x + np.float32(decay) * w, error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+        move = (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)).astype(np.float32)
         w, bias = w - move[:-1], bias - move[-1]
     return Logistic(w, float(bias))
 
@@ -98,38 +111,36 @@ def calibrate(model: Logistic, x: np.ndarray, y: np.ndarray) -> None:
             model.slope, model.shift = float(scale.weights[0]) / 10, scale.bias
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_content: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> tuple[Logistic, Logistic]:
-    """Two classifiers that label the pool for each other: in every round each
-    view's most confident rows of the pool, in the classes' proportion, join
-    the other view's training rows. A fifth of the labelled rows stays out and
-    calibrates both."""
-    hold = np.arange(len(y)) % 5 == 0
-    if len(set(y[hold].tolist())) < 2 or len(set(y[~hold].tolist())) < 2:
+def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> tuple[Logistic, Logistic]:
+    """Two classifiers that label rows for each other. y is NaN for the pool: in
+    every round each view's most confident rows of it, in the classes'
+    proportion, join the other view's training rows. A fifth of the labelled
+    rows stays out and calibrates both."""
+    known = ~np.isnan(y)
+    hold = known & (np.cumsum(known) % 5 == 0)
+    if len(set(y[hold].tolist())) < 2 or len(set(y[known & ~hold].tolist())) < 2:
         hold[:] = False
-    sets = [[content[~hold], y[~hold]], [meta[~hold], y[~hold]]]
-    pools, free = [pool_content, pool_meta], [np.ones(len(pool_content), bool), np.ones(len(pool_meta), bool)]
-    good = max(1, round(per_round * y.mean()))
-    models = [fit_logistic(*s) for s in sets]
+    views, use, truth = (content, meta), [known & ~hold, known & ~hold], [y.copy(), y.copy()]
+    good = max(1, round(per_round * y[known].mean()))
+    models = [fit_logistic(x, t, u) for x, t, u in zip(views, truth, use)]
     for _ in range(rounds):
         for teacher, pupil in ((0, 1), (1, 0)):
-            left = np.flatnonzero(free[pupil])
-            if not len(left):
-                continue
-            p = models[teacher].probability(pools[teacher][left])
+            left = np.flatnonzero(~known & ~use[pupil])
+            p = models[teacher].probability(views[teacher][left])
             rank = np.argsort(p, kind="stable")
             low = [i for i in rank[: max(1, per_round - good)] if p[i] < 0.1]
-            high = [i for i in rank[::-1][:good] if p[i] > 0.9]
+            high = [i for i in rank[::-1][:good] if p[i] > 0.9 and i not in low]
             pick = left[np.array(low + high, int)]
-            free[pupil][pick] = False
-            sets[pupil] = [np.vstack((sets[pupil][0], pools[pupil][pick])), np.append(sets[pupil][1], np.r_[np.zeros(len(low)), np.ones(len(high))])]
-        models = [fit_logistic(*s) for s in sets]
-    for model, x in zip(models, (content, meta)):
+            use[pupil][pick] = True
+            truth[pupil][pick] = np.r_[np.zeros(len(low)), np.ones(len(high))]
+        models = [fit_logistic(x, t, u, m, steps=60) for x, t, u, m in zip(views, truth, use, models)]
+    for model, x in zip(models, views):
         calibrate(model, x[hold], y[hold])
     return models[0], models[1]
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, labelled: int, pool: int, dims: int) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """The labelled rows and the pool, by least hash of the doc_id."""
+def _sampled(docs: DataFrame, labels: DataFrame, labelled: int, pool: int, dims: int) -> pd.DataFrame:
+    """The labelled rows, and the pool with y NaN, by least hash of the doc_id."""
     marks = (
         labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("double").alias("__y"))
         .where("__id IS NOT NULL AND __y IN (0, 1)")
@@ -139,30 +150,31 @@ def _sampled(docs: DataFrame, labels: DataFrame, labelled: int, pool: int, dims:
     chosen = marks.orderBy(order, "__id").limit(labelled)
     others = docs.select(F.col("doc_id").cast("long").alias("__id")).where("__id IS NOT NULL").distinct().join(marks, "__id", "left_anti").orderBy(order, "__id").limit(pool)
     both = chosen.unionByName(others.withColumn("__y", F.lit(None).cast("double")))
-    view = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.array(*metadata(docs)).alias("meta"))
+    view = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.array(*named_features(docs)).alias("meta"))
     rows = view.join(F.broadcast(both), F.col("__doc") == F.col("__id")).select("__id", "__y", "text", "meta")
 
     def featured(batches):
         for batch in batches:
             raw, off = K.string_buffers(batch.column(2))
             for i, j in K.pieces(off, PIECE, 512):
-                x = content_features(raw[off[i] : off[j]], off[i : j + 1] - off[i], dims)
-                cols = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(3).slice(i, j - i)]
+                part, at = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+                x, lay = content_features(part, at, dims), layout_features(part, at)
+                meta = [a + b for a, b in zip(batch.column(3).slice(i, j - i).to_pylist(), lay.tolist())]
+                cols = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(meta, pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "y", "content", "meta"])
 
-    got = rows.mapInArrow(featured, "id long, y double, content binary, meta array<double>").toPandas().sort_values(["id", "content"], kind="stable").drop_duplicates("id")
-    return got[got.y.notna()], got[got.y.isna()]
+    got = rows.mapInArrow(featured, "id long, y double, content binary, meta array<double>").toPandas()
+    return got.sort_values(["id", "content"], kind="stable").drop_duplicates("id").sample(frac=1, random_state=0)
 
 
 def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, dims: int = DIMENSIONS, rounds: int = ROUNDS) -> tuple[Logistic, Logistic] | None:
     """The two fitted views; None where the labels have fewer than 2 classes."""
-    known, free = _sampled(docs, labels, labelled, pool, dims)
-    if known.y.nunique() < 2:
+    got = _sampled(docs, labels, labelled, pool, dims)
+    if got.y.nunique() < 2:
         return None
-    matrix = lambda part: np.frombuffer(b"".join(part.content), np.float32).reshape(len(part), dims)
-    side = lambda part: np.array(part.meta.tolist(), float).reshape(len(part), META)
-    order = known.sample(frac=1, random_state=0)
-    return co_train(matrix(order), side(order), order.y.to_numpy(), matrix(free), side(free), rounds)
+    y, meta = got.y.to_numpy(float), np.array(got.meta.tolist(), np.float32).reshape(len(got), META)
+    content = np.frombuffer(b"".join(got.pop("content")), np.float32).reshape(len(y), dims)
+    return co_train(content, meta, y, rounds)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, **params) -> DataFrame:
@@ -188,22 +200,25 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT
     content, meta = models
     weights = content.weights
 
-    @F.arrow_udf("double")
-    def view(text: pa.Array) -> pa.Array:
+    @F.arrow_udf("struct<content: double, layout: double>")
+    def views(text: pa.Array) -> pa.Array:
         raw, off = K.string_buffers(text)
-        out = np.zeros(len(off) - 1)
+        out, lay = np.zeros(len(off) - 1), np.zeros(len(off) - 1)
         for i, j in K.pieces(off, PIECE, 512):
-            out[i:j] = content_features(raw[off[i] : off[j]], off[i : j + 1] - off[i], dims) @ weights
-        return pa.array(content.slope * (out + content.bias) + content.shift)
+            part, at = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+            out[i:j] = content_features(part, at, dims) @ weights
+            lay[i:j] = layout_features(part, at) @ meta.weights[-LAYOUT:]
+        return pa.StructArray.from_arrays([pa.array(content.slope * (out + content.bias) + content.shift), pa.array(lay)], ["content", "layout"])
 
-    logit = F.lit(meta.bias)
-    for w, x in zip(meta.weights, metadata(docs)):
+    logit = F.lit(meta.bias) + F.col("__v.layout")
+    for w, x in zip(meta.weights, named_features(docs)):
         logit = logit + F.lit(float(w)) * x
     logit = F.lit(meta.slope) * logit + F.lit(meta.shift)
     sigmoid = lambda z: 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))
-    scored = docs.withColumns({"__zc": view(F.coalesce(F.col("text").cast("string"), F.lit(""))), "__zm": logit})
+    seen = docs.withColumn("__v", views(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    scored = seen.withColumns({"__zc": F.col("__v.content"), "__zm": logit})
     scored = scored.withColumns({"__content": sigmoid(F.col("__zc")), "__meta": sigmoid(F.col("__zm")), "__score": sigmoid((F.col("__zc") + F.col("__zm")) / 2)})
-    return scored.withColumn("__keep", F.col("__score") >= keep_at).drop("__zc", "__zm")
+    return scored.withColumn("__keep", F.col("__score") >= keep_at).drop("__zc", "__zm", "__v")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
