@@ -20,6 +20,8 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i in
 _ASIDE = frozenset("nav footer aside head".split())
 _MAIN = frozenset("article main".split())
 _ASIDE_CLASS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs cookie menu nav navbar promo sidebar sponsored".split())
+#: Elements whose end may be left out in HTML, and is not looked at.
+_OPEN_ENDED = frozenset("p li td th tr dt dd option optgroup thead tbody tfoot body html".split())
 _REPEAT = re.compile(r"(.{1,64}?)\1+", re.S)
 TEXT = "#"
 
@@ -49,7 +51,7 @@ class Symbols:
 def tokens(html: str, symbols: Symbols) -> tuple[str, list[str], list[bool]]:
     """A page as one character per token, its texts, and of each whether it
     stands in a region that isn't content. Inline markup belongs to the text;
-    comments, scripts and styles are nothing."""
+    comments, scripts, styles and end tags that may be left out are nothing."""
     out, texts, aside, buffer, region, depth = [], [], [], [], "", 0
 
     def flush() -> None:
@@ -80,7 +82,8 @@ def tokens(html: str, symbols: Symbols) -> tuple[str, list[str], list[bool]]:
         if m.group(2):
             if depth and name == region:
                 depth -= 1
-            out.append(symbols.of("/" + name))
+            if name not in _OPEN_ENDED:
+                out.append(symbols.of("/" + name))
             continue
         cls = _CLASS.search(m.group(4)) if m.group(4) else None
         words = (cls.group(1) or cls.group(2) or cls.group(3) or "").split() if cls else []
