@@ -14,13 +14,15 @@ from .common import measured, written
 THRESHOLD, LEADING, BLOCK, LEAF = 0.95, 8, 2048, 64
 
 
-def _unit(batch: pd.Series, dims: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(batch), np.float64).reshape(-1, dims)
-    return x
+def _unit(batch: pd.Series, dims: int, kind: type) -> np.ndarray:
+    """Unit vectors of rows kept as bytes."""
+    x = np.frombuffer(b"".join(batch), kind).reshape(-1, dims).astype(float)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def _packed(dims: int):
-    """Unit vectors as bytes; rows that have no direction are left out."""
+def _packed(dims: int, kind: type):
+    """Vectors as bytes, in the precision given; rows that have no direction are
+    left out."""
 
     def run(batches):
         for pdf in batches:
@@ -28,13 +30,12 @@ def _packed(dims: int):
                 x = np.array(pdf["v"].tolist(), float).reshape(len(pdf), dims)
                 norm = np.sqrt((x * x).sum(axis=1))
                 good = np.isfinite(norm) & (norm > 0)
-                x = x[good] / norm[good, None]
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[good], "v": [r.tobytes() for r in x]})
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[good], "v": [r.tobytes() for r in x[good].astype(kind)]})
 
     return run
 
 
-def _axes(unit: DataFrame, dims: int, leading: int) -> np.ndarray:
+def _axes(unit: DataFrame, dims: int, leading: int, number: type) -> np.ndarray:
     """The leading principal directions over all vectors. The driver receives a
     matrix of dims x dims from each group of partitions, not the vectors."""
 
@@ -42,7 +43,7 @@ def _axes(unit: DataFrame, dims: int, leading: int) -> np.ndarray:
         n, s, c = 0, np.zeros(dims), np.zeros((dims, dims))
         for pdf in batches:
             if len(pdf):
-                x = _unit(pdf["v"], dims)
+                x = _unit(pdf["v"], dims, number)
                 n, s, c = n + len(x), s + x.sum(axis=0), c + x.T @ x
         if n:
             yield pd.DataFrame({"n": [n], "s": [s.tobytes()], "c": [c.tobytes()]})
@@ -98,62 +99,59 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, leading: int
     On unit vectors the cosine bounds the distance by eps = sqrt(2 - 2
     threshold). Cells of side eps on the leading principal directions give the
     epsilon grid order; blocks of consecutive vectors in it are joined with
-    those blocks whose cells are neighbours in every direction, recursively, and
-    halves whose boxes are further apart than eps are skipped.
+    those in neighbouring cells of the first direction whose boxes aren't
+    further apart than eps, recursively, skipping halves that are.
 
     Compared are vectors of one length. A null id, a null, empty or zero vector
     and one with a null, NaN or infinite number match nothing. Wholly equal
     rows are one; an id doesn't match itself, and with several vectors it
     matches by any of them.
     """
+    kind = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.where("id IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL)").distinct()
     rows = written(rows, "vectors")
     lengths = [r[0] for r in rows.select(F.size("v")).distinct().orderBy(F.size("v")).collect()]
     out = vectors.sparkSession.createDataFrame([], "id_a long, id_b long")
     for dims in lengths:
-        out = out.unionByName(_near_of_length(rows.where(F.size("v") == dims), dims, threshold, min(leading, dims), block))
+        out = out.unionByName(_near_of_length(rows.where(F.size("v") == dims), dims, kind, threshold, min(leading, dims), block))
     return out
 
 
-def _near_of_length(rows: DataFrame, dims: int, threshold: float, leading: int, block: int) -> DataFrame:
+def _near_of_length(rows: DataFrame, dims: int, kind: type, threshold: float, leading: int, block: int) -> DataFrame:
     eps = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
-    unit = written(rows.mapInPandas(_packed(dims), "id long, v binary"), "unit")
-    axes = _axes(unit, dims, leading)
+    unit = written(rows.mapInPandas(_packed(dims, kind), "id long, v binary"), "unit")
+    axes = _axes(unit, dims, leading, kind)
 
-    def cells(batches):
+    def projected(batches):
         for pdf in batches:
             if len(pdf):
-                grid = np.floor(_unit(pdf["v"], dims) @ axes / eps).astype(np.int32)
-                yield pdf.assign(cell=list(grid))
+                yield pdf.assign(z=list(_unit(pdf["v"], dims, kind) @ axes))
 
-    placed = written(unit.mapInPandas(cells, "id long, v binary, cell array<int>"), "cells")
-    # Blocks: consecutive rows in grid order. Each first cell is cut into equal
-    # parts by ranking within (first two cells), from counts.
-    head = F.slice("cell", 1, 2)
+    placed = unit.mapInPandas(projected, "id long, v binary, z array<double>").withColumn("cell", F.transform("z", lambda x: F.floor(x / eps).cast("int")))
+    # Blocks are runs of rows in grid order, cut within the first two cells.
     key = Window.partitionBy("head").orderBy("cell", "id", "v")
-    ordered = placed.withColumn("head", head).withColumn("part", F.floor((F.row_number().over(key) - 1) / block).cast("int"))
-    boxes = F.array(*[F.struct(F.min(F.col("cell")[k]).alias("lo"), F.max(F.col("cell")[k]).alias("hi")) for k in range(leading)])
-    ordered = written(ordered, "ordered")
-    blocks = ordered.groupBy("head", "part").agg(boxes.alias("box")).withColumn("block", F.xxhash64("head", "part"))
-    blocks = written(blocks, "blocks")
-    a, b = blocks.select(F.col("block").alias("a"), F.col("box").alias("ba"), F.explode(F.array(*[F.col("box")[0]["lo"] + k for k in (-1, 0, 1)])).alias("near")), blocks.select(F.col("block").alias("b"), F.col("box").alias("bb"), F.col("box")[0]["lo"].alias("near"))
-    apart = F.exists(F.arrays_zip("ba", "bb"), lambda z: (z["ba"]["lo"] > z["bb"]["hi"] + 1) | (z["bb"]["lo"] > z["ba"]["hi"] + 1))
-    pairs = written(a.join(b, "near").where((F.col("a") <= F.col("b")) & ~apart).select("a", "b"), "pairs")
-    sides = pairs.select("a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(pairs.where("a <> b").select("a", "b", F.col("b").alias("block"), F.lit(1).alias("side")))
-    bodies = ordered.select(F.xxhash64("head", "part").alias("block"), "id", "v", "cell")
-    sent = sides.join(bodies, "block").select("a", "b", "side", "id", "v", "cell")
+    ordered = placed.withColumn("head", F.slice("cell", 1, 2)).withColumn("block", F.xxhash64("head", F.floor((F.row_number().over(key) - 1) / block)))
+    ordered = written(ordered.select("id", "v", "z", "cell", "block"), "ordered")
+    sides = [F.struct(F.min(F.col("z")[k]).alias("lo"), F.max(F.col("z")[k]).alias("hi")) for k in range(leading)]
+    blocks = written(ordered.groupBy("block").agg(F.array(*sides).alias("box"), F.min(F.col("cell")[0]).alias("first")), "blocks")
+    left = blocks.select(F.col("block").alias("a"), F.col("box").alias("ba"), F.explode(F.array(*[F.col("first") + k for k in (-1, 0, 1)])).alias("near"))
+    right = blocks.select(F.col("block").alias("b"), F.col("box").alias("bb"), F.col("first").alias("near"))
+    gap = F.transform(F.arrays_zip("ba", "bb"), lambda x: F.greatest(F.lit(0.0), x["ba"]["lo"] - x["bb"]["hi"], x["bb"]["lo"] - x["ba"]["hi"]))
+    apart = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g) > eps * eps
+    pairs = written(left.join(right, "near").where((F.col("a") <= F.col("b")) & ~apart).select("a", "b"), "pairs")
+    ends = pairs.select("a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(pairs.where("a <> b").select("a", "b", F.col("b").alias("block"), F.lit(1).alias("side")))
+    sent = ends.join(ordered.select("block", "id", "v", "cell"), "block").select("a", "b", "side", "id", "v", "cell")
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(order=pdf["cell"].map(tuple)).sort_values(["order", "id"], kind="stable")
-        left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        same = not len(right)
-        right = left if same else right
-        x, y = _unit(left["v"], dims), _unit(right["v"], dims)
+        one, two = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        same = not len(two)
+        two = one if same else two
+        x, y = _unit(one["v"], dims, kind), _unit(two["v"], dims, kind)
         i, j = join_intervals(x, x @ axes, y, y @ axes, eps, threshold, same)
-        p, q = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+        p, q = one["id"].to_numpy()[i], two["id"].to_numpy()[j]
         ok = p != q
         return pd.DataFrame({"id_a": np.minimum(p, q)[ok], "id_b": np.maximum(p, q)[ok]})
 
-    found = sent.groupBy("a", "b").applyInPandas(match, "id_a long, id_b long")
-    return found.distinct()
+    return sent.groupBy("a", "b").applyInPandas(match, "id_a long, id_b long").distinct()
