@@ -37,6 +37,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_written(spark: SparkSession) -> None:
+    """Delete all written() tables; call it once their results are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siftwell")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def measured(side: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """side (a written table, so that counting reads only footers) with a
     broadcast hint if it fits the limit; beyond it a shuffle join is left to

@@ -65,8 +65,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temperature:
     """
     known = docs.select(F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     table = written(poisson_table(source_rates(known, weights, temperature, epochs)), "rates").select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
+    longest = table.agg(F.coalesce(F.max(F.size("__cdf")), F.lit(0))).first()[0]
     ident = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.col("text").cast("string")), F.lit("")))
-    joined = docs.join(measured(table, 600), F.col("source").cast("string").eqNullSafe(F.col("__source")))
+    joined = docs.join(measured(table, 64 + 8 * longest), F.col("source").cast("string").eqNullSafe(F.col("__source")))
     u = uniform(ident)
     counted = joined.withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= u)))
     copies = counted.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
