@@ -31,10 +31,10 @@ def postings(definitions: DataFrame, camel: bool = False) -> DataFrame:
     alone = F.when(F.col("part") == 0, F.col("entry_seq"))
     first = Window.partitionBy("key", "term", "line", alone).orderBy("entry_seq", "part")
     kept = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    # Likewise the key's first posting comes from an aggregation, not a window.
-    place = kept.groupBy(F.col("key").alias("__key")).agg(F.min(F.struct("entry_seq", "part")).alias("__k"))
-    joined = kept.join(place, F.col("key") == F.col("__key"))
-    return joined.withColumns({"key_entry": F.col("__k.entry_seq"), "key_part": F.col("__k.part")}).drop("__k", "__key")
+    # Likewise the key's first posting comes from an aggregation, not a window;
+    # it is never one of those dropped, and an entry has a key once at most.
+    place = rows.groupBy(F.col("key").alias("__key")).agg(F.min("entry_seq").alias("key_entry"), F.min_by("part", "entry_seq").alias("key_part"))
+    return kept.join(place, F.col("key") == F.col("__key")).drop("__key")
 
 
 def top_terms(index: DataFrame, limit: int = 100) -> DataFrame:
