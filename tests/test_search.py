@@ -97,3 +97,60 @@ def test_fallbacks(index, refs):
 def test_command_line():
     query, got = grammar.command_line("user --type function,class --max 7 --sort usage --compact")
     assert query == "user" and got["options"] == S.Options(("function", "class"), (), 7) and got["sort"] == "usage" and got["form"] == "compact"
+
+
+def model(defs, query, limit=100, exact=False):
+    """The search contract in plain Python."""
+    from siftwell.functions.groups import BOUNDARY_PREFIXES, variations
+
+    index = {}
+    for n, (term, file, line) in enumerate(defs):
+        key = term.lower()
+        index.setdefault(key, []).append((term, file, line))
+        for p in dict.fromkeys(key.split("_") + key.split("-")):
+            if len(p) > 2 and p != key and not any(t == term and x == line for t, _, x in index.setdefault(p, [])):
+                index[p].append((term, file, line))
+    q, out = query.lower(), []
+    if not q:
+        out = [(0.5, e) for rows in index.values() for e in rows]
+    elif exact:
+        out = [(1.0, e) for e in index.get(q, [])]
+    else:
+        out += [(1.0, e) for e in index.get(q, [])]
+        middle, last = [], []
+        for k, rows in index.items():
+            if k == q:
+                continue
+            parts = [p for s in ("_-", "./") for p in __import__("re").split(f"[{s}]", k)]
+            near = any(p.startswith(q) for p in parts) or any(k.startswith(p + q) for p in BOUNDARY_PREFIXES)
+            score = 0.85 if k.startswith(q) else 0.8 if k.endswith(q) else 0.75 if near else None
+            if score:
+                middle += [(score, e) for e in rows]
+            elif q in k:
+                last += [(0.6 * len(q) / len(k), e) for e in rows]
+        out += middle + last
+        for w in variations(q):
+            out += [(0.5, e) for k, rows in index.items() if w in k for e in rows]
+    seen, kept = set(), []
+    for score, e in out:
+        if e not in seen:
+            seen.add(e)
+            kept.append((score, e))
+    kept.sort(key=lambda x: -x[0])
+    return [(t, f, round(s, 4)) for s, (t, f, _) in kept[:limit]]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_indexes_match_the_contract(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    words = "user auth get config error request db is-set handler user_name x.y repo util".split()
+    defs = [("".join(rng.choice([w, w.title(), w + "_", "-" + w]) for w in rng.sample(words, rng.randint(1, 3))), f"f{rng.randrange(4)}", rng.randrange(5)) for _ in range(60)]
+    rows = [(i, t, "function", f, n) for i, (t, f, n) in enumerate(defs)]
+    index = postings(spark.createDataFrame(rows, "entry_seq long, term string, type string, file string, line int")).persist()
+    for q in ["user", "auth", "con", "Re", "", "name", "zz"]:
+        assert found(S.ranked(index, q)) == model(defs, q)
+    assert found(S.ranked(index, "user", S.Options(exact=True, limit=5))) == model(defs, "user", 5, True)
+    keys = [(r["file"], r["line"], r["term"]) for r in S.ranked(index, "e").collect()]
+    assert len(keys) == len(set(keys)) and all(0 < s <= 1 for *_, s in found(S.ranked(index, "e")))
