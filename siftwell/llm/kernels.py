@@ -60,12 +60,9 @@ def pieces(offsets: np.ndarray, size: int, rows: int = 8192):
         i = j
 
 
-def word_shingles(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of every run of width words, and each one's row, by row.
-
-    Words are runs of ASCII letters and digits and of non-ASCII characters. A
-    row of fewer words, but at least one, has one shingle of all its words.
-    """
+def words(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word, and its row. Words are runs of ASCII letters
+    and digits and of non-ASCII characters."""
     if not len(raw):
         return np.zeros(0, U64), np.zeros(0, np.int64)
     inside = _WORD[raw]
@@ -76,13 +73,18 @@ def word_shingles(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndar
     end = inside.copy()
     end[:-1] &= ~inside[1:] | edge[1:-1]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    if not len(s):
-        return np.zeros(0, U64), np.zeros(0, np.int64)
     up, down = powers(len(raw))
     prefix = np.zeros(len(raw) + 1, U64)
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=prefix[1:])
-    word = mix((prefix[e] - prefix[s]) * down[s])
-    row = np.searchsorted(off, s, "right") - 1
+    return mix((prefix[e] - prefix[s]) * down[s]), np.searchsorted(off, s, "right") - 1
+
+
+def word_shingles(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of every run of width words, and each one's row, by row. A
+    row of fewer words, but at least one, has one shingle of all its words."""
+    word, row = words(raw, off)
+    if not len(word):
+        return word, row
     counts = np.bincount(row, minlength=len(off) - 1)
     short = (counts[row] < width) & np.r_[True, row[1:] != row[:-1]]
     total, whole = word.copy(), np.ones(len(word), bool)
@@ -96,6 +98,14 @@ def word_shingles(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndar
     return mix(total[use]), row[use]
 
 
+def repetition(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Of each row the share of words that equal the one before."""
+    word, row = words(raw, off)
+    same = (word[1:] == word[:-1]) & (row[1:] == row[:-1])
+    rows = len(off) - 1
+    return np.bincount(row[1:][same], minlength=rows) / np.maximum(np.bincount(row, minlength=rows), 1)
+
+
 def char_shingles(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of every run of width characters, by row, with each row's
     start and count. A shorter row, but not an empty one, has one shingle."""

@@ -20,12 +20,14 @@ PIECE = 1 << 20
 
 
 def content_features(raw: np.ndarray, off: np.ndarray, dims: int) -> np.ndarray:
-    """Rows x dims: square roots of the shares of hashed byte trigrams."""
+    """Rows x (dims + 1): square roots of the shares of hashed byte trigrams, and
+    of the share of words that repeat the one before."""
     index, counts = _trigrams(raw, off, dims)
     rows = len(off) - 1
     row = np.repeat(np.arange(rows), counts)
     hits = np.bincount(row * dims + index, minlength=rows * dims).reshape(rows, dims)
-    return np.sqrt(hits / np.maximum(counts, 1)[:, None]).astype(np.float32)
+    shares = np.column_stack((hits / np.maximum(counts, 1)[:, None], K.repetition(raw, off)))
+    return np.sqrt(shares).astype(np.float32)
 
 
 def _trigrams(raw: np.ndarray, off: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     if got.y.nunique() < 2:
         return None
     y, meta = got.y.to_numpy(float), np.array(got.meta.tolist(), np.float32).reshape(len(got), META)
-    content = np.frombuffer(b"".join(got.pop("content")), np.float32).reshape(len(y), dims)
+    content = np.frombuffer(b"".join(got.pop("content")), np.float32).reshape(len(y), dims + 1)
     return co_train(content, meta, y, rounds)
 
 
