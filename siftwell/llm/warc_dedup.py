@@ -156,3 +156,17 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], ["file", "header", "block"])
 
     return files.select("path", "content").mapInArrow(run, "file string, header string, block string")
+
+
+def records_of(archives: DataFrame) -> DataFrame:
+    """Records (RECORD) of read_archives(); a block of another type than
+    response and revisit is all payload."""
+    field = lambda name: F.nullif(F.regexp_extract("header", rf"(?i)(?:^|\r\n){name}:[ ]*<?([^\r\n>]*)", 1), F.lit(""))
+    http = field("WARC-Type").isin("response", "revisit")
+    at = F.locate("\r\n\r\n", F.concat(F.lit("\r\n"), F.col("block")))
+    head = F.when(http & (at > 0), F.substring("block", F.lit(1), at - 1))
+    body = F.when(http & (at > 0), F.substring("block", at + 2, F.length("block"))).otherwise(F.col("block"))
+    return archives.select(
+        field("WARC-Record-ID").alias("record_id"), field("WARC-Type").alias("warc_type"), field("WARC-Target-URI").alias("target_uri"), field("WARC-Date").alias("warc_date"),
+        field("WARC-Payload-Digest").alias("payload_digest"), head.alias("http_header"), F.when(field("WARC-Type") != "revisit", body).alias("payload"),
+    )
