@@ -64,15 +64,22 @@ def tool_usage(activity: DataFrame) -> DataFrame:
 
 
 def activity_tree(activity: DataFrame) -> DataFrame:
-    """(id, root, depth): every node below its root, by a recursive query."""
-    spark = activity.sparkSession
-    activity.createOrReplaceTempView("__activity")
-    return spark.sql(
-        """WITH RECURSIVE t(id, root, depth) AS (
-             SELECT id, id, 0 FROM __activity WHERE parent_tool_use_id IS NULL
-             UNION ALL SELECT a.id, t.root, t.depth + 1 FROM __activity a JOIN t ON a.parent_tool_use_id = t.id)
-           SELECT id, root, depth FROM t"""
-    )
+    """(id, root, depth): every node below its root; nodes whose ancestors end
+    at a missing one are left out, as are cycles.
+
+    Each round joins nodes with their furthest known ancestors, which doubles
+    the distance, so a tree of depth n takes log n joins of the whole table and
+    has none of a recursive query's limits.
+    """
+    cur = activity.select("id", F.coalesce("parent_tool_use_id", "id").alias("up"), F.when(F.col("parent_tool_use_id").isNull(), 0).otherwise(1).alias("depth")).persist()
+    left = None
+    while True:
+        a, b = cur.alias("a"), cur.alias("b")
+        nxt = a.join(b, F.col("a.up") == F.col("b.id")).select("a.id", "b.up", (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("b.depth") > 0).alias("more")).persist()
+        before, left = left, nxt.where("more").count()
+        if not left or left == before:
+            return nxt.where("NOT more").select("id", F.col("up").alias("root"), "depth")
+        cur = nxt.drop("more")
 
 
 def timeout_seconds(tool: Column) -> Column:

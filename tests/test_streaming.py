@@ -53,3 +53,11 @@ def test_single_flight():
     [t.start() for t in ts]
     [t.join() for t in ts]
     assert got == [7] * 4 and len(runs) == 1
+
+
+def test_activity_tree_of_long_chains_and_cycles(spark):
+    from siftwell.operators.sessions import activity_tree
+
+    rows = [(f"n{i}", f"n{i - 1}" if i else None) for i in range(300)] + [("x", "y"), ("y", "x"), ("lost", "gone"), ("k", "n7")]
+    got = {r["id"]: (r["root"], r["depth"]) for r in activity_tree(spark.createDataFrame(rows, "id string, parent_tool_use_id string")).collect()}
+    assert got == {f"n{i}": ("n0", i) for i in range(300)} | {"k": ("n0", 8)}
