@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 DAY = 86_400_000
 #: Seconds of silence after which a run counts as stuck, by the last tool.
 TIMEOUTS = {"Task": 600, "Bash": 300, "WebFetch": 240}
@@ -69,13 +71,15 @@ def activity_tree(activity: DataFrame) -> DataFrame:
 
     Each round joins nodes with their furthest known ancestors, which doubles
     the distance, so a tree of depth n takes log n joins of the whole table and
-    has none of a recursive query's limits.
+    has none of a recursive query's limits. Rounds are written to the shared
+    folder, so that plans stay short and no executor's loss costs them.
     """
-    cur = activity.select("id", F.coalesce("parent_tool_use_id", "id").alias("up"), F.when(F.col("parent_tool_use_id").isNull(), 0).otherwise(1).alias("depth")).persist()
+    cur = activity.select("id", F.coalesce("parent_tool_use_id", "id").alias("up"), F.when(F.col("parent_tool_use_id").isNull(), 0).otherwise(1).alias("depth"))
     left = None
     while True:
         a, b = cur.alias("a"), cur.alias("b")
-        nxt = a.join(b, F.col("a.up") == F.col("b.id")).select("a.id", "b.up", (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("b.depth") > 0).alias("more")).persist()
+        nxt = a.join(b, F.col("a.up") == F.col("b.id")).select("a.id", "b.up", (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("b.depth") > 0).alias("more"))
+        nxt = written(nxt, "tree")
         before, left = left, nxt.where("more").count()
         if not left or left == before:
             return nxt.where("NOT more").select("id", F.col("up").alias("root"), "depth")
