@@ -3,45 +3,17 @@ whose broadcast side is measured first, and distributed union-find."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import clear_written, shared_dir, written  # noqa: F401
+
 #: Largest side, in estimated bytes, that is sent to every executor.
 BROADCAST_BYTES = 16 << 20
 
-_unset_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); only where that is
-    unset, as in tests, a temporary folder of this process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not _unset_dir:
-        _unset_dir.append("file://" + tempfile.mkdtemp(prefix="siftwell-"))
-    return _unset_dir[0]
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and
-    survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftwell/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear_written(spark: SparkSession) -> None:
-    """Delete all written() tables; call it once their results are stored."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siftwell")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def measured(side: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """side (a written table, so that counting reads only footers) with a
