@@ -358,7 +358,7 @@ def _found_sql(q: str = "ring", limit: int = 100) -> str:
     return f"WITH {POSTINGS}, {REFS}, {USAGE}, {_ranked_sql(q, limit)}, found AS (SELECT ranked.*, coalesce(usage_count, 0) AS usage_count FROM ranked LEFT JOIN usage ON term = target_term)"
 
 
-@query(_found_sql() + " SELECT count(*) AS results, count(DISTINCT file) AS files, round(avg(usage_count), 6) AS avg_usage, max(usage_count) AS max_usage, count_if(usage_count > 0) AS with_usage FROM found")
+@query(_found_sql() + " SELECT count(*) AS results, count(DISTINCT file) AS files, round(avg(usage_count), 6) AS avg_usage, max(usage_count) AS max_usage, count_if(usage_count > 0)::BIGINT AS with_usage FROM found")
 def q_result_stats(spark, d):
     return reports.stats(_found(spark, d)).withColumn("avg_usage", F.round("avg_usage", 6))
 
@@ -458,7 +458,7 @@ def _context_sql(q: str = "ring", limit: int = 100) -> str:
 @query(_context_sql() + """, l AS (SELECT language, count(*) AS n FROM ctx GROUP BY 1 ORDER BY n DESC, min(rank) LIMIT 1)
     SELECT (SELECT language FROM l) AS main_language, round((SELECT n FROM l) * 100.0 / count(*))::INTEGER AS percent, count_if(contains(context, 'async')) * 2 > count(*) AS mostly_async,
       (SELECT string_agg(DISTINCT e, ',' ORDER BY e) FROM (SELECT unnest(regexp_extract_all(context, 'throw new (\\w*Error)', 1)) AS e FROM ctx)) AS errors,
-      count_if(contains(file, '.test.') OR contains(file, '.spec.')) AS in_tests, (SELECT term FROM ctx WHERE usage_count > 5 ORDER BY usage_count DESC, rank LIMIT 1) AS widely_used FROM ctx""")
+      count_if(contains(file, '.test.') OR contains(file, '.spec.'))::BIGINT AS in_tests, (SELECT term FROM ctx WHERE usage_count > 5 ORDER BY usage_count DESC, rank LIMIT 1) AS widely_used FROM ctx""")
 def q_traits(spark, d):
     return reports.traits(_with_context(spark, d)).withColumn("errors", F.array_join("errors", ","))
 
@@ -538,7 +538,7 @@ def q_search_glob(spark, d):
 # Files
 
 
-@query(f"""WITH {_DOCS} SELECT count(*) AS files, sum(size) AS bytes,
+@query(f"""WITH {_DOCS} SELECT count(*) AS files, sum(size)::BIGINT AS bytes,
     CASE WHEN sum(size) < 1048576 THEN printf('%.1f KB', sum(size) / 1024.0) WHEN sum(size) < 1073741824 THEN printf('%.1f MB', sum(size) / 1048576.0) ELSE printf('%.1f GB', sum(size) / 1073741824.0) END AS shown FROM docs""")
 def q_file_scan_stats(spark, d):
     return source_files.size_estimate(documents(spark, d))
@@ -639,7 +639,7 @@ def q_page_sections(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(found(r"<script\b[^>]*>", 0)).alias("scripts"), F.size(found(r"<style\b[^>]*>", 0)).alias("styles"), joined(found('class="([^"]*)"')).alias("classes"), joined(found("<([a-z][a-z0-9]*)")).alias("tags"))
 
 
-@query("""SELECT k AS term, 'constant' AS type, count(*) AS n, sum(v::BIGINT) AS total FROM (SELECT unnest(json_keys(props)) AS k, json_extract_string(props, '$.k') AS v FROM events) GROUP BY 1""")
+@query("""SELECT k AS term, 'constant' AS type, count(*) AS n, sum(v::BIGINT)::BIGINT AS total FROM (SELECT unnest(json_keys(props)) AS k, json_extract_string(props, '$.k') AS v FROM events) GROUP BY 1""")
 def q_json_flatten(spark, d):
     parsed = table(spark, d, "events").select(F.from_json("props", "map<string,string>").alias("m"))
     pairs = parsed.select(F.explode("m").alias("term", "v"))
@@ -856,7 +856,7 @@ def q_activity_tree(spark, d):
 
 
 @query("""WITH act AS (SELECT conv_id, turn, any_value(length(text)) AS n FROM conversations GROUP BY 1, 2)
-    SELECT count(*) AS nodes, count_if(turn % 3 = 1) AS completed, count_if(turn % 3 = 0) AS failed FROM act""")
+    SELECT count(*) AS nodes, count_if(turn % 3 = 1)::BIGINT AS completed, count_if(turn % 3 = 0)::BIGINT AS failed FROM act""")
 def q_activity_stats(spark, d):
     return sessions.activity_stats(_activity(spark, d)).drop("total_duration")
 
