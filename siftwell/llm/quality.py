@@ -162,7 +162,7 @@ def _sampled(docs: DataFrame, labels: DataFrame, labelled: int, pool: int, dims:
                 part, at = raw[off[i] : off[j]], off[i : j + 1] - off[i]
                 x, lay = content_features(part, at, dims), layout_features(part, at)
                 meta = [a + b for a, b in zip(batch.column(3).slice(i, j - i).to_pylist(), lay.tolist())]
-                cols = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(meta, pa.list_(pa.float64()))]
+                cols = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), pa.array(meta, pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "y", "content", "meta"])
 
     got = rows.mapInArrow(featured, "id long, y double, content binary, meta array<double>").toPandas()
@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     if got.y.nunique() < 2:
         return None
     y, meta = got.y.to_numpy(float), np.array(got.meta.tolist(), np.float32).reshape(len(got), META)
-    content = np.frombuffer(b"".join(got.pop("content")), np.float32).reshape(len(y), dims + 1)
+    content = np.frombuffer(b"".join(got.pop("content")), np.float16).reshape(len(y), dims + 1).astype(np.float32)
     return co_train(content, meta, y, rounds)
 
 
