@@ -117,3 +117,27 @@ def test_logs(spark, tmp_path):
 
     row = reduced(got).first()
     assert (row["session_id"], row["last_tool"], row["cost"], row["result"]) == ("s", "Bash", 0.5, "done")
+
+
+def test_written_reports_and_logs(spark, tmp_path):
+    from siftwell.sources import store
+
+    path = store.save_report(spark, {"a": 1}, str(tmp_path / "r"))
+    assert json.loads(spark.read.text(path).first()[0]) == {"a": 1}
+    rows = spark.createDataFrame([("x",), ("y",)], "line string")
+    store.append_log(rows, str(tmp_path / "log"))
+    store.append_log(rows, str(tmp_path / "log"))
+    assert spark.read.text(str(tmp_path / "log")).count() == 4
+    store.save_json(rows, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+
+
+def test_listing_and_priority(spark, tmp_path):
+    for name in ("a/x.py", "a/y.ts", "b/z.py", "dist/no.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    got = [r["path"] for r in files.by_priority(files.listing(spark, str(tmp_path)), "b/*").collect()]
+    assert got == ["b/z.py", "a/x.py", "a/y.ts"]
+    assert sorted(r["path"] for r in files.paths(spark, str(tmp_path), config={"exclude": ["*.ts"], "include": ["dist/no.py"]}).collect()) == ["a/x.py", "b/z.py", "dist/no.py"]
+    cut = {r["path"]: r["content"] for r in files.contents(spark, str(tmp_path), limit=3).collect()}
+    assert cut["a/x.py"] == "a/x" + files.TRUNCATED

@@ -154,3 +154,10 @@ def test_random_indexes_match_the_contract(spark, seed):
     assert found(S.ranked(index, "user", S.Options(exact=True, limit=5))) == model(defs, "user", 5, True)
     keys = [(r["file"], r["line"], r["term"]) for r in S.ranked(index, "e").collect()]
     assert len(keys) == len(set(keys)) and all(0 < s <= 1 for *_, s in found(S.ranked(index, "e")))
+
+
+def test_suggestions(index, refs):
+    from siftwell.operators.reports import suggestions
+
+    assert suggestions("user", S.search(index, refs, "user")) == ["search user --file b.py", "search user --exact"]
+    assert suggestions("nothinglikeit", S.search(index, refs, "nothinglikeit")) == ["search nothing", "search --regex nothinglikeit", "group list"]
