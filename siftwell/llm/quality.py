@@ -16,7 +16,7 @@ from . import kernels as K
 #: on which the two classifiers are fitted. Scoring covers all documents.
 LABELLED, POOL = 4000, 3000
 DIMENSIONS, ROUNDS, PER_ROUND, KEEP_AT, SALT = 2048, 4, 250, 0.5, "co-training"
-PIECE = 1 << 20
+PIECE = 1 << 17
 
 
 def content_features(raw: np.ndarray, off: np.ndarray, dims: int) -> np.ndarray:
