@@ -158,11 +158,13 @@ def minhash(values: np.ndarray, starts: np.ndarray, count: np.ndarray, hashes: i
     a = rng.integers(0, 2**31, hashes).astype(np.uint32) * np.uint32(2) + np.uint32(1)
     b = rng.integers(0, 2**32, hashes).astype(np.uint32)
     low = (values >> U64(32)).astype(np.uint32)
-    out = np.empty((len(starts), hashes), np.uint32)
+    out, turn = np.empty((hashes, len(starts)), np.uint32), np.empty_like(low)
     if len(starts):
         for k in range(hashes):
-            out[:, k] = np.minimum.reduceat(low * a[k] ^ b[k], starts)
-    return out
+            np.multiply(low, a[k], out=turn)
+            np.bitwise_xor(turn, b[k], out=turn)
+            np.minimum.reduceat(turn, starts, out=out[k])
+    return np.ascontiguousarray(out.T)
 
 
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:

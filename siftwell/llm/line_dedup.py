@@ -14,7 +14,7 @@ WIDTH, BANDS, ROWS, THRESHOLD = 8, 8, 4, 0.8
 #: Of a pair's signature coordinates so many parts must agree before its lines
 #: are compared. At the threshold of 0.8, 18 of 32 don't with 5e-4.
 AGREE = 18 / 32
-PIECE = 1 << 19
+PIECE = 1 << 17
 
 
 def _lines(docs: DataFrame) -> DataFrame:
