@@ -24,6 +24,8 @@ _ASIDE_CLASS = frozenset("ad ads advert advertisement banner breadcrumb breadcru
 _OPEN_ENDED = frozenset("p li td th tr dt dd option optgroup thead tbody tfoot body html".split())
 _REPEAT = re.compile(r"(.{1,64}?)\1+", re.S)
 TEXT = "#"
+#: A text that not all pages of a host have is on so many of them, to be template.
+SHARE = 0.2
 
 
 class Symbols:
@@ -212,28 +214,48 @@ def infer(signatures: list[tuple[str, list[int], int, list[int]]]) -> str:
     for text, _ in folded[1:]:
         if text != wrapper:
             wrapper, groups = merge(wrapper, groups, text)
-    seen: dict[int, list] = {}
-    for stream, (text, widths), (_, hashes, _, counts) in zip(streams, folded, signatures):
+    seen: dict[int, dict[int, int]] = {}
+    for n, (stream, (text, widths), (_, hashes, _, _)) in enumerate(zip(streams, folded, signatures)):
         place = dict((q, p) for p, q in align(wrapper, text))
         at = slot = 0
         for k, width in enumerate(widths):
             inner = stream[at : at + width]
             own = sum(1 for x in inner if x == TEXT)
             if text[k] == TEXT and k in place:
-                entry = seen.setdefault(place[k], [set(), 0])
-                entry[0].add(hashes[slot])
-                entry[1] += counts[slot]
+                seen.setdefault(place[k], {})[n] = hashes[slot]
             slot += own
             at += width
-    constants = {}
-    for p, (values, count) in seen.items():
-        (value,) = values if len(values) == 1 else (0,)
-        constants[p] = value if value and count > 1 else 0
+    constants = _constants(seen, [n if any(map(_has_text, stream)) else 0 for stream, (_, _, n, _) in zip(streams, signatures)])
     if not any(v == 0 for v in constants.values()) and not any(c != TEXT and _has_text(symbols.item[c]) for c in wrapper):
         constants = dict.fromkeys(constants, 0)
     return json.dumps({"items": symbols.items(wrapper), "groups": groups, "units": units, "const": [constants.get(k, 0) for k in range(len(wrapper))]}, separators=(",", ":"))
 
 
+def _constants(seen: dict[int, dict[int, int]], pages: list[int]) -> dict[int, int]:
+    """Of each slot its constant or 0, from the hash on each stream that has it
+    and the pages of each stream. What not all pages have must be on a share of
+    them, and these must differ wherever the host's pages do: copies of one
+    page, which agree in more than its template, make nothing a constant."""
+    total, varied, differ = sum(pages), {p for p, values in seen.items() if not _one(values.values())}, {}
+    constants = dict.fromkeys(seen, 0)
+    for p, values in seen.items():
+        value, count, streams = _one(values.values()), sum(pages[n] for n in values), frozenset(values)
+        if not value or count < 2:
+            continue
+        if count < total and streams not in differ:
+            both = [seen[q] for q in varied if streams <= seen[q].keys()]
+            differ[streams] = bool(both) and not any(_one([x[n] for n in streams]) for x in both)
+        if count == total or count >= SHARE * total and differ[streams]:
+            constants[p] = value
+    return constants
+
+
+def _one(values) -> int:
+    """The hash that all of the values are, or 0."""
+    (value,) = found if len(found := set(values)) == 1 else (0,)
+    return value
+
+
 def _has_text(item) -> bool:
     return item == TEXT or isinstance(item, tuple) and any(_has_text(x) for x in item[1])
 
@@ -373,7 +395,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
     The token streams of a host's pages are aligned into a wrapper, a regular
     expression without unions: repetitions become repeated groups, mismatches
     optional groups, differing texts slots. A text that all pages of a host
-    share in its slot (two pages at least) is template; the others are data.
+    that have text share in its slot (two pages at least) is template, and so
+    is one that all pages with its optional group share, if they are a fifth of
+    the host's and differ in each slot in which the host's pages do (copies of
+    a page don't); the others are data.
     The text of a page is its data outside of nav, footer, aside, head and
     elements whose class says that they are such, or advertising; a line per slot. All pages of a host take part in its wrapper, each distinct
     stream once.

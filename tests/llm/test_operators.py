@@ -151,6 +151,15 @@ def test_every_page_matches_its_wrapper(spark, data):
         assert len(want & have) >= 0.95 * len(want)
 
 
+def test_copies_keep_blocks_of_their_own(spark):
+    own = "<h2>Own heading</h2><blockquote>Own quote</blockquote><table><tr><td>Own cell</td></tr></table>"
+    pages = [page(f"Title {k}", [f"para {k}"], ["a"]) for k in range(20)] + [page("Twice", ["the same"], ["a"], own)] * 2 + [""]
+    df = spark.createDataFrame([(i, f"http://h/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_wrappers.extract_text(df).collect()}
+    assert got[20] == got[21] == "Twice\nOwn heading\nOwn quote\nOwn cell\nthe same"
+    assert got[0] == "Title 0\npara 0" and got[22] == ""
+
+
 def test_fold_and_align_keep_tokens():
     s = html_wrappers.Symbols()
     text, widths = html_wrappers.fold("".join(s.of(x) for x in "ul li # li # li # /ul".split()), s)
