@@ -20,9 +20,40 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i in
 _ASIDE = frozenset("nav footer aside head".split())
 _MAIN = frozenset("article main".split())
 _ASIDE_CLASS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs cookie menu nav navbar promo sidebar sponsored".split())
-#: Elements whose end may be left out in HTML, and is not looked at.
+#: Elements whose end may be left out in HTML, and is no token.
 _OPEN_ENDED = frozenset("p li td th tr dt dd option optgroup thead tbody tfoot body html".split())
 _REPEAT = re.compile(r"(.{1,64}?)\1+", re.S)
+_VOID = frozenset("area base basefont bgsound br col embed frame hr image img input keygen link meta param source track wbr".split())
+_IN_HEAD = frozenset("html head title base basefont bgsound link meta".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_BLOCKS = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form header hgroup hr li main menu nav ol p pre search section summary table ul".split()) | _HEADINGS
+_PARTS = frozenset("thead tbody tfoot".split())
+_BOUNDS = frozenset("article aside blockquote body button details dl fieldset figure footer form header main menu nav object ol section table td th ul".split())
+
+
+def _implied() -> dict[str, list]:
+    """Of a start tag, what open elements it ends, and within which others."""
+    table, ends = frozenset(["table"]), {}
+    for names, closed, bounds in (
+        (["li"], ["li"], _BOUNDS),
+        (["dd", "dt"], ["dd", "dt"], _BOUNDS),
+        (_BLOCKS, ["p"], frozenset("button td th caption table object".split())),
+        (["option"], ["option"], frozenset(["select", "datalist"])),
+        (["optgroup"], ["option", "optgroup"], frozenset(["select"])),
+        (["td", "th"], ["td", "th", "caption", "colgroup"], table),
+        (["tr"], ["tr", "td", "th", "caption", "colgroup"], table),
+        (_PARTS, [*_PARTS, "tr", "td", "th", "caption", "colgroup"], table),
+        (["button"], ["button"], frozenset()),
+    ):
+        for name in names:
+            ends.setdefault(name, []).append((frozenset(closed), bounds))
+    return ends
+
+
+_IMPLIED = _implied()
+_NO_BOUNDS = frozenset()
+#: Within which elements an end tag looks for its start.
+_SCOPE = {"li": frozenset("ul ol menu".split()), "p": frozenset("button td th caption table object".split())} | dict.fromkeys("td th tr thead tbody tfoot caption".split(), frozenset(["table"]))
 TEXT = "#"
 #: A text that not all pages of a host have is on so many of them, to be template.
 SHARE = 0.2
@@ -50,11 +81,66 @@ class Symbols:
         return "".join(self.of(x) for x in s)
 
 
+class _Open:
+    """The open elements at a place of a page, and the outermost one that isn't
+    content. Ends are implied where HTML implies them: by a sibling's start, by
+    a parent's end, and for head by what can't stand in one."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.region = -1
+
+    def _cut(self, k: int) -> None:
+        del self.names[k:]
+        if k <= self.region:
+            self.region = -1
+
+    def _close(self, closed: frozenset, bounds: frozenset, all_: bool = True) -> None:
+        found = -1
+        for k in range(len(self.names) - 1, -1, -1):
+            if self.names[k] in bounds:
+                break
+            if self.names[k] in closed:
+                found = k
+                if not all_:
+                    break
+        if found >= 0:
+            self._cut(found)
+
+    def leave_head(self) -> None:
+        if "head" in self.names:
+            self._cut(self.names.index("head"))
+
+    def start(self, name: str, words: list[str], attributes: str) -> None:
+        if name not in _IN_HEAD:
+            self.leave_head()
+        for closed, bounds in _IMPLIED.get(name, ()):
+            self._close(closed, bounds)
+        if name in _HEADINGS and self.names and self.names[-1] in _HEADINGS:
+            self._cut(len(self.names) - 1)
+        if name in _MAIN:
+            self.region = -1
+        if name in _VOID or attributes.endswith("/") and not {"svg", "math"}.isdisjoint(self.names):
+            return
+        if self.region < 0 and name not in ("html", "body") and (name in _ASIDE or not _ASIDE_CLASS.isdisjoint(words)):
+            self.region = len(self.names)
+        self.names.append(name)
+
+    def end(self, name: str) -> None:
+        self._close(_HEADINGS if name in _HEADINGS else frozenset([name]), _SCOPE.get(name, _NO_BOUNDS), False)
+
+    def text(self) -> bool:
+        """Whether text that stands here is outside of the content."""
+        if self.names and self.names[-1] == "head":
+            self.leave_head()
+        return self.region >= 0
+
+
 def tokens(html: str, symbols: Symbols) -> tuple[str, list[str], list[bool]]:
     """A page as one character per token, its texts, and of each whether it
     stands in a region that isn't content. Inline markup belongs to the text;
     comments, scripts, styles and end tags that may be left out are nothing."""
-    out, texts, aside, buffer, region, depth = [], [], [], [], "", 0
+    out, texts, aside, buffer, opened = [], [], [], [], _Open()
 
     def flush() -> None:
         if buffer:
@@ -65,7 +151,7 @@ def tokens(html: str, symbols: Symbols) -> tuple[str, list[str], list[bool]]:
             if text:
                 out.append(TEXT)
                 texts.append(text)
-                aside.append(depth > 0)
+                aside.append(opened.text())
 
     for m in _TOKEN.finditer(html):
         name = m.group(3)
@@ -82,19 +168,13 @@ def tokens(html: str, symbols: Symbols) -> tuple[str, list[str], list[bool]]:
             continue
         flush()
         if m.group(2):
-            if depth and name == region:
-                depth -= 1
+            opened.end(name)
             if name not in _OPEN_ENDED:
                 out.append(symbols.of("/" + name))
             continue
         cls = _CLASS.search(m.group(4)) if m.group(4) else None
         words = (cls.group(1) or cls.group(2) or cls.group(3) or "").split() if cls else []
-        if name in _MAIN:
-            depth = 0
-        elif depth:
-            depth += name == region
-        elif name in _ASIDE or not _ASIDE_CLASS.isdisjoint(words):
-            region, depth = name, 1
+        opened.start(name, words, m.group(4))
         out.append(symbols.of(".".join((name, " ".join(words))) if words else name))
     flush()
     return "".join(out), texts, aside
@@ -400,8 +480,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
     the host's and differ in each slot in which the host's pages do (copies of
     a page don't); the others are data.
     The text of a page is its data outside of nav, footer, aside, head and
-    elements whose class says that they are such, or advertising; a line per slot. All pages of a host take part in its wrapper, each distinct
-    stream once.
+    elements whose class says that they are such, or advertising; a line per
+    slot. Such an element ends at its end tag or where HTML implies it (a
+    sibling, the parent's end, what can't stand in a head), and before an
+    article or main; html, body and elements that are always empty are none.
+    All pages of a host take part in its wrapper, each distinct stream once.
 
     A null html gives a null text and null counts; an empty one, or one without
     data, an empty text. A null url, or one without a host, has host null and

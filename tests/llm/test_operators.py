@@ -160,6 +160,32 @@ def test_copies_keep_blocks_of_their_own(spark):
     assert got[0] == "Title 0\npara 0" and got[22] == ""
 
 
+ENDS = {
+    "<body><img class='banner'><input class=menu><hr class='promo'/><p>kept": "kept",
+    "<body><p class='ad'>buy<p>kept<div>also": "kept\nalso",
+    "<body><div><p class='ad'>buy</div>kept": "kept",
+    "<body><ul><li class='menu'>home<ul><li>deep</ul><li>kept</ul>also": "kept\nalso",
+    "<body><ul><li>kept<li class='menu'>home</ul>also": "kept\nalso",
+    "<body><dl><dt class='promo'>buy<dd>kept</dl>also": "kept\nalso",
+    "<body><table><tr><td class='ad'>buy<td>kept<tr class='ad'><td>buy<td>this<tr><td>also</table>end": "kept\nalso\nend",
+    "<body><table><thead class='ad'><tr><td>buy<tbody><tr><td>kept</table>": "kept",
+    "<body><select><option class='ad'>buy<option>kept</select>also": "kept\nalso",
+    "<html><head><title>name</title><meta name=x><body><p>kept": "kept",
+    "<head><title>name</title><p>kept": "kept",
+    "<head><title>name</title>kept": "kept",
+    "<body class='home nav'><p>kept": "kept",
+    "<article><p>one<section><p class='ad'>buy</section>two<p>three</article>": "one\ntwo\nthree",
+    "<body><div class='ad'><div>buy</div>this<p>too</div>kept<nav>menu<ul><li>x</ul></nav>also": "kept\nalso",
+    "<body><div class='ad'>buy<img class='x'><svg><path class='menu'/></svg><p>this</p></div>kept": "kept",
+}
+
+
+@pytest.mark.parametrize("html", ENDS)
+def test_regions_end_where_html_ends_them(html):
+    _, texts, aside = html_wrappers.tokens(html, html_wrappers.Symbols())
+    assert "\n".join(t for t, a in zip(texts, aside) if not a) == ENDS[html]
+
+
 def test_fold_and_align_keep_tokens():
     s = html_wrappers.Symbols()
     text, widths = html_wrappers.fold("".join(s.of(x) for x in "ul li # li # li # /ul".split()), s)
