@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import measured, written
 
-#: Bounds of the sample of labelled rows, and of the pool of unlabelled ones,
-#: on which the two classifiers are fitted. Scoring covers all documents.
-LABELLED, POOL = 4000, 3000
+#: Bound of the sample of labelled rows on which the two classifiers are fitted.
+#: In each round they score all unlabelled rows.
+LABELLED = 6000
 DIMENSIONS, ROUNDS, PER_ROUND, KEEP_AT, SALT = 2048, 4, 250, 0.5, "co-training"
+#: A view is confident of a row below and above these probabilities.
+LOW, HIGH = 0.1, 0.9
 PIECE = 1 << 17
 
 
@@ -114,69 +118,133 @@ def calibrate(model: Logistic, x: np.ndarray, y: np.ndarray) -> None:
 
 
 def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> tuple[Logistic, Logistic]:
-    """Two classifiers that label rows for each other. y is NaN for the pool: in
-    every round each view's most confident rows of it, in the classes'
-    proportion, join the other view's training rows. A fifth of the labelled
-    rows stays out and calibrates both."""
-    known = ~np.isnan(y)
-    hold = known & (np.cumsum(known) % 5 == 0)
-    if len(set(y[hold].tolist())) < 2 or len(set(y[known & ~hold].tolist())) < 2:
-        hold[:] = False
-    views, use, truth = (content, meta), [known & ~hold, known & ~hold], [y.copy(), y.copy()]
-    good = max(1, round(per_round * y[known].mean()))
-    models = [fit_logistic(x, t, u) for x, t, u in zip(views, truth, use)]
-    for _ in range(rounds):
-        for teacher, pupil in ((0, 1), (1, 0)):
-            left = np.flatnonzero(~known & ~use[pupil])
+    """Two classifiers that label rows for each other. y is NaN for the rows
+    without a label, which are all here."""
+    known, views = ~np.isnan(y), (content, meta)
+    used = [known.copy(), known.copy()]
+
+    def choose(models: list[Logistic], n_low: int, n_high: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for teacher, pupil in ((1, 0), (0, 1)):
+            left = np.flatnonzero(~used[pupil])
             p = models[teacher].probability(views[teacher][left])
             rank = np.argsort(p, kind="stable")
-            low = [i for i in rank[: max(1, per_round - good)] if p[i] < 0.1]
-            high = [i for i in rank[::-1][:good] if p[i] > 0.9 and i not in low]
+            low = [i for i in rank[:n_low] if p[i] < LOW]
+            high = [i for i in rank[::-1][:n_high] if p[i] > HIGH]
             pick = left[np.array(low + high, int)]
-            use[pupil][pick] = True
-            truth[pupil][pick] = np.r_[np.zeros(len(low)), np.ones(len(high))]
-        models = [fit_logistic(x, t, u, m, steps=60) for x, t, u, m in zip(views, truth, use, models)]
+            used[pupil][pick] = True
+            out.append((views[pupil][pick], np.r_[np.zeros(len(low)), np.ones(len(high))]))
+        return out
+
+    return _co_train((content[known], meta[known]), y[known], choose, rounds, per_round)
+
+
+def _co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, choose: Callable, rounds: int, per_round: int) -> tuple[Logistic, Logistic]:
+    """From labelled rows, and choose(models, n_low, n_high), which gives each
+    view's new rows with the labels that the other one gave them: in every round
+    its most confident ones, in the classes' proportion. A fifth of the labelled
+    rows stays out and calibrates both."""
+    hold = np.arange(1, len(y) + 1) % 5 == 0
+    if len(set(y[hold].tolist())) < 2 or len(set(y[~hold].tolist())) < 2:
+        hold[:] = False
+    good = max(1, round(per_round * y.mean()))
+    xs, truth = [x[~hold] for x in views], [y[~hold], y[~hold]]
+    models = [fit_logistic(x, t) for x, t in zip(xs, truth)]
+    for _ in range(rounds):
+        for k, (x, t) in enumerate(choose(models, max(1, per_round - good), good)):
+            xs[k], truth[k] = np.concatenate((xs[k], x)), np.append(truth[k], t)
+        models = [fit_logistic(x, t, start=m, steps=60) for x, t, m in zip(xs, truth, models)]
     for model, x in zip(models, views):
         calibrate(model, x[hold], y[hold])
     return models[0], models[1]
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, labelled: int, pool: int, dims: int) -> pd.DataFrame:
-    """The labelled rows, and the pool with y NaN, by least hash of the doc_id."""
-    marks = (
-        labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("double").alias("__y"))
-        .where("__id IS NOT NULL AND __y IN (0, 1)")
-        .groupBy("__id").agg(F.min("__y").alias("__y"))
-    )
-    order = F.xxhash64(F.lit(SALT), F.col("__id"))
-    chosen = marks.orderBy(order, "__id").limit(labelled)
-    others = docs.select(F.col("doc_id").cast("long").alias("__id")).where("__id IS NOT NULL").distinct().join(marks, "__id", "left_anti").orderBy(order, "__id").limit(pool)
-    both = chosen.unionByName(others.withColumn("__y", F.lit(None).cast("double")))
-    view = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.array(*named_features(docs)).alias("meta"))
-    rows = view.join(F.broadcast(both), F.col("__doc") == F.col("__id")).select("__id", "__y", "text", "meta")
+def _features(batch: pa.RecordBatch, dims: int):
+    """Of each piece of a batch with text and meta its first row, the one after
+    its last, and both views' features."""
+    raw, off = K.string_buffers(batch.column("text"))
+    for i, j in K.pieces(off, PIECE, 512):
+        part, at = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+        named = np.array(batch.column("meta").slice(i, j - i).to_pylist(), float).reshape(j - i, META - LAYOUT)
+        yield i, j, content_features(part, at, dims), np.column_stack((named, layout_features(part, at))).astype(np.float32)
+
+
+def _fetched(rows: DataFrame, dims: int) -> pd.DataFrame:
+    """Rows (__id, __key, __y, text, meta) with their features, on the driver."""
 
     def featured(batches):
         for batch in batches:
-            raw, off = K.string_buffers(batch.column(2))
-            for i, j in K.pieces(off, PIECE, 512):
-                part, at = raw[off[i] : off[j]], off[i : j + 1] - off[i]
-                x, lay = content_features(part, at, dims), layout_features(part, at)
-                meta = [a + b for a, b in zip(batch.column(3).slice(i, j - i).to_pylist(), lay.tolist())]
-                cols = [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), pa.array(meta, pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "y", "content", "meta"])
+            for i, j, x, meta in _features(batch, dims):
+                cols = [batch.column(k).slice(i, j - i) for k in range(3)]
+                cols += [pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "key", "y", "content", "meta"])
+
+    return rows.select("__id", "__key", "__y", "text", "meta").mapInArrow(featured, "id long, key long, y double, content binary, meta binary").toPandas()
+
+
+def _arrays(got: pd.DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    content = np.frombuffer(b"".join(got.content), np.float16).reshape(len(got), dims + 1).astype(np.float32)
+    return content, np.frombuffer(b"".join(got.meta), np.float32).reshape(len(got), META)
+
+
+def _scores(rows: DataFrame, models: list[Logistic], dims: int) -> DataFrame:
+    """(id, key, p0, p1): of rows of which either view is confident, both
+    views' probabilities."""
+
+    def run(batches):
+        for batch in batches:
+            for i, j, *views in _features(batch, dims):
+                p = [m.probability(x).astype(float) for m, x in zip(models, views)]
+                sure = np.flatnonzero((p[0] < LOW) | (p[0] > HIGH) | (p[1] < LOW) | (p[1] > HIGH))
+                cols = [batch.column(k).slice(i, j - i).take(pa.array(sure)) for k in range(2)] + [pa.array(x[sure]) for x in p]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "key", "p0", "p1"])
 
-    got = rows.mapInArrow(featured, "id long, y double, content binary, meta array<double>").toPandas()
-    return got.sort_values(["id", "content"], kind="stable").drop_duplicates("id").sample(frac=1, random_state=0)
+    return rows.select("__id", "__key", "text", "meta").mapInArrow(run, "id long, key long, p0 double, p1 double")
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, dims: int = DIMENSIONS, rounds: int = ROUNDS) -> tuple[Logistic, Logistic] | None:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int | None = None, dims: int = DIMENSIONS, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> tuple[Logistic, Logistic] | None:
     """The two fitted views; None where the labels have fewer than 2 classes."""
-    got = _sampled(docs, labels, labelled, pool, dims)
+    marks = (
+        labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("double").alias("__y"))
+        .where("__id IS NOT NULL AND __y IN (0, 1)")
+        .groupBy("__id").agg(F.min("__y").alias("__y"))
+    )
+    order = F.xxhash64(F.lit(SALT), F.col("id"))
+    chosen = marks.withColumnRenamed("__id", "id").orderBy(order, "id").limit(labelled)
+    view = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.array(*named_features(docs)).alias("meta")).where("__id IS NOT NULL")
+    view = view.withColumn("__key", F.xxhash64("text", "meta"))
+    got = _fetched(view.join(F.broadcast(chosen.withColumnsRenamed({"id": "__id"})), "__id"), dims)
+    got = got.sort_values(["id", "content"], kind="stable").drop_duplicates("id").sample(frac=1, random_state=0)
     if got.y.nunique() < 2:
         return None
-    y, meta = got.y.to_numpy(float), np.array(got.meta.tolist(), np.float32).reshape(len(got), META)
-    content = np.frombuffer(b"".join(got.pop("content")), np.float16).reshape(len(y), dims + 1).astype(np.float32)
-    return co_train(content, meta, y, rounds)
+    known = written(marks.select(F.col("__id").alias("id")), "labelled")
+    if pool is not None:
+        some = view.select(F.col("__id").alias("id")).distinct().join(measured(known, 8), "id", "left_anti").orderBy(order, "id").limit(pool)
+        view = view.join(F.broadcast(some.withColumnsRenamed({"id": "__id"})), "__id", "left_semi")
+    taken: list[set[int]] = [set(), set()]
+
+    def choose(models: list[Logistic], n_low: int, n_high: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        scores = _scores(view, models, dims).join(measured(known, 8), "id", "left_anti")
+        scores = written(scores.groupBy("key").agg(F.min("id").alias("id"), F.min("p0").alias("p0"), F.min("p1").alias("p1")), "scores")
+        picks: list[dict[tuple[int, int], float]] = []
+        for teacher, pupil in (("p1", 0), ("p0", 1)):
+            found: dict[tuple[int, int], float] = {}
+            for label, where, by, n in ((0.0, F.col(teacher) < LOW, F.col(teacher), n_low), (1.0, F.col(teacher) > HIGH, F.desc(teacher), n_high)):
+                # what was taken before is at most so many rows more
+                best = scores.where(where).orderBy(by, F.xxhash64(F.lit(SALT), "id"), "id", "key").limit(n + len(taken[pupil])).select("id", "key").collect()
+                found |= dict.fromkeys([(r.id, r.key) for r in best if r.key not in taken[pupil]][:n], label)
+            taken[pupil] |= {key for _, key in found}
+            picks.append(found)
+        wanted = sorted(picks[0].keys() | picks[1].keys())
+        side = docs.sparkSession.createDataFrame(wanted, "__id long, __key long").withColumn("__y", F.lit(None).cast("double"))
+        new = _fetched(view.join(F.broadcast(side), ["__id", "__key"]), dims).drop_duplicates(["id", "key"]).sort_values(["id", "key"])
+        out = []
+        for k, found in enumerate(picks):
+            mine = new[np.array([pair in found for pair in zip(new.id, new.key)], bool)]
+            out.append((_arrays(mine, dims)[k], np.array([found[pair] for pair in zip(mine.id, mine.key)], float)))
+        return out
+
+    return _co_train(_arrays(got, dims), got.y.to_numpy(float), choose, rounds, per_round)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, **params) -> DataFrame:
@@ -185,9 +253,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT
 
     labels: (doc_id, quality 0 or 1); other values, and null ids, are left out,
     and of several labels of one document the least counts. The classifiers are
-    fitted on at most `labelled` labelled documents and a pool of at most
-    `pool` unlabelled ones, those of least hash; all documents are scored. The
-    combined score averages the calibrated log-odds.
+    fitted on at most `labelled` labelled documents, those of least hash. In
+    each round both views score all unlabelled ones (with `pool`, only so many
+    of least hash), and the 250 of which each is most confident join the
+    other's rows; equal documents count once. The combined score averages the
+    calibrated log-odds.
 
     A null text is scored as an empty one; both lie at the classifiers' bias
     and their layout. A null lang or source is a value of its own. Rows that

@@ -284,6 +284,20 @@ def test_classifier_on_held_out_rows(spark):
     assert out.s.between(0, 1).all() and len(out) == docs.count()
 
 
+def test_pseudo_labels_come_from_all_unlabelled_rows(spark, monkeypatch):
+    texts = [f"plain words number {i} of a text that reads well enough" if i % 2 else f"$$ ## {i} || ** %% ~~" for i in range(4000)]
+    docs, labels = docs_of(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality long")
+    seen, scores = [], quality._scores
+
+    def counted(rows, *rest):
+        seen.append(rows.count())
+        return scores(rows, *rest)
+
+    monkeypatch.setattr(quality, "_scores", counted, raising=True)
+    out = quality.score_documents(docs, labels, dims=256, rounds=2).select("doc_id", "__keep").collect()
+    assert seen == [4000, 4000] and all(r["__keep"] == bool(r["doc_id"] % 2) for r in out)
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(5)
     y = rng.integers(0, 2, 400).astype(float)
