@@ -6,6 +6,7 @@ import html as entities
 import json
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -22,7 +23,9 @@ _MAIN = frozenset("article main".split())
 _ASIDE_CLASS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs cookie menu nav navbar promo sidebar sponsored".split())
 #: Elements whose end may be left out in HTML, and is no token.
 _OPEN_ENDED = frozenset("p li td th tr dt dd option optgroup thead tbody tfoot body html".split())
+#: Units of up to 64 tokens; _wide() finds the longer ones.
 _REPEAT = re.compile(r"(.{1,64}?)\1+", re.S)
+NARROW, GRAM = 64, 32
 _VOID = frozenset("area base basefont bgsound br col embed frame hr image img input keygen link meta param source track wbr".split())
 _IN_HEAD = frozenset("html head title base basefont bgsound link meta".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -198,11 +201,50 @@ def fold(s: str, symbols: Symbols, widths: list[int] | None = None) -> tuple[str
     widths = widths or [1] * len(s)
     while True:
         new, spans = _substitute(s, widths, _REPEAT, lambda m: symbols.of(("+", symbols.items(m.group(1)))) if not _group(m.group(1), symbols) else m.group(1))
+        if new == s:
+            new, spans = _fold_wide(s, widths, symbols)
         if new == s:
             return s, widths
         s, widths = new, spans
 
 
+def _wide(s: str) -> list[tuple[int, int, int]]:
+    """(start, period, end) of the leftmost repetitions of units of more than
+    NARROW tokens, of any length. Of such a repetition, one of the places that
+    are multiples of its period agrees with the next in GRAM tokens before or
+    after it."""
+    n = len(s)
+    if n < 2 * (NARROW + 1):
+        return []
+    ids: dict[str, int] = {}
+    gram = np.array([ids.setdefault(s[i : i + GRAM], len(ids)) for i in range(n - GRAM + 1)])
+    if len(ids) == len(gram):
+        return []
+    codes, runs = np.frombuffer(s.encode("utf-32-le"), np.uint32), []
+    for p in range(NARROW + 1, n // 2 + 1):
+        after, before = gram[::p], gram[(-GRAM) % p :: p]
+        if not ((after[1:] == after[:-1]).any() or (before[1:] == before[:-1]).any()):
+            continue
+        edges = np.flatnonzero(np.diff(np.r_[0, (codes[p:] == codes[:-p]).view(np.int8), 0]))
+        runs += [(int(a), p, int(b)) for a, b in zip(edges[::2], edges[1::2]) if b - a >= p]
+    out, at = [], 0
+    while left := [(max(a, at), p, b) for a, p, b in runs if b - max(a, at) >= p]:
+        a, p, b = min(left)
+        at = a + p * (1 + (b - a) // p)
+        out.append((a, p, at))
+        runs = [(x, q, y) for x, q, y in runs if y - max(x, at) >= q]
+    return out
+
+
+def _fold_wide(s: str, widths: list[int], symbols: Symbols) -> tuple[str, list[int]]:
+    parts, spans, last = [], [], 0
+    for a, p, b in _wide(s):
+        parts += [s[last:a], symbols.of(("+", symbols.items(s[a : a + p])))]
+        spans += [*widths[last:a], sum(widths[a:b])]
+        last = b
+    return "".join(parts) + s[last:], spans + widths[last:]
+
+
 def _group(unit: str, symbols: Symbols) -> bool:
     return len(unit) == 1 and isinstance(symbols.item[unit], tuple)
 

@@ -186,6 +186,16 @@ def test_regions_end_where_html_ends_them(html):
     assert "\n".join(t for t, a in zip(texts, aside) if not a) == ENDS[html]
 
 
+@pytest.mark.parametrize("width", [64, 65, 66, 97, 128, 500])
+@pytest.mark.parametrize("lead", [0, 1, 37])
+def test_units_of_any_length_are_folded(width, lead):
+    s = html_wrappers.Symbols()
+    unit, ahead = "".join(s.of(f"td.c{k}") for k in range(width)), "".join(s.of(f"h{k}") for k in range(lead))
+    text, widths = html_wrappers.fold(ahead + unit * 3 + s.of("/table"), s)
+    assert text == ahead + s.of(("+", s.items(unit))) + s.of("/table") and widths == [1] * lead + [3 * width, 1]
+    assert html_wrappers.fold(unit + s.of("x") + unit, s)[0] == unit + s.of("x") + unit
+
+
 def test_fold_and_align_keep_tokens():
     s = html_wrappers.Symbols()
     text, widths = html_wrappers.fold("".join(s.of(x) for x in "ul li # li # li # /ul".split()), s)
