@@ -1,25 +1,73 @@
 """Shared pieces of the corpus operators: durable intermediate tables, joins
-whose broadcast side is measured first, and distributed union-find."""
+whose broadcast side is measured first, names that no column has, and
+distributed union-find."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 from ..sources.shared import clear_written, shared_dir, written  # noqa: F401
 
-#: Largest side, in estimated bytes, that is sent to every executor.
+#: Largest side, in measured bytes, that is sent to every executor.
 BROADCAST_BYTES = 16 << 20
-
-
-def measured(side: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """side (a written table, so that counting reads only footers) with a
-    broadcast hint if it fits the limit; beyond it a shuffle join is left to
-    the optimizer."""
-    return F.broadcast(side) if side.count() * row_bytes <= limit else side
+#: Members of a bucket that one task compares with so many others of it.
+SLICE = 1024
+
+
+def _bytes(c: Column, kind: DataType) -> Column:
+    """Bytes that a value takes in a row."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return 16 + F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
+            return 16 + F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + _bytes(x, kind.elementType)), F.lit(0))
+        return 16 + 8 * F.coalesce(F.size(c), F.lit(0))
+    if isinstance(kind, StructType):
+        total = F.lit(16)
+        for f in kind.fields:
+            total = total + _bytes(c.getField(f.name), f.dataType)
+        return total
+    return F.lit(8)
+
+
+def measured(side: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """side (a written table) with a broadcast hint if its rows fit the limit;
+    beyond it a shuffle join is left to the optimizer. Rows are counted from
+    footers; only where so many could fit at all are their bytes added up."""
+    if side.count() * (16 + 8 * len(side.columns)) > limit:
+        return side
+    if any(isinstance(f.dataType, (StringType, BinaryType, ArrayType, StructType)) for f in side.schema.fields):
+        total = F.lit(16)
+        for f in side.schema.fields:
+            total = total + _bytes(F.col(quoted(f.name)), f.dataType)
+        if (side.agg(F.sum(total.cast("long"))).first()[0] or 0) > limit:
+            return side
+    return F.broadcast(side)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def given(columns: list[str]) -> list[Column]:
+    """The columns as they are, whatever characters their names have."""
+    return [F.col(quoted(c)) for c in columns]
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """For each name one like it that isn't among the columns (case aside)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def union_partition(batches):
@@ -48,76 +96,69 @@ def components(edges: DataFrame) -> DataFrame:
     but the roots; a root is the least id of its component.
 
     Each partition first contracts its edges to stars; alternating large-star
-    and small-star rounds then join the stars until no edge changes. No
-    partition ever holds more than its share of the edges.
+    and small-star rounds then join the stars until every node has one edge,
+    to a node that has none downward. Least neighbours are aggregated before
+    the shuffle and joined back, so that a hub's edges needn't meet in a task.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     cur = written(e.mapInPandas(union_partition, "u long, v long").distinct(), "cc")
-    print_of = lambda d: d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    before, w = print_of(cur), Window.partitionBy("u")
-    while before[0]:
+    while not _stars(cur):
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            both.withColumn("m", F.least("u", F.min("v").over(w)))
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct()
-        )
-        small = large.withColumn("m", F.min("v").over(w))
-        cur = written(
-            small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .where("u <> v")
-            .distinct(),
-            "cc",
-        )
-        now = print_of(cur)
-        if now == before:
-            break
-        before = now
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = written(large, "cc")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        cur = written(small.select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), "cc")
     return cur.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
-def near_components(bands: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _stars(cur: DataFrame) -> bool:
+    """Whether each u has one edge and no v is a u."""
+    sides = cur.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("s"))
+    mixed = sides.groupBy("s.x").agg(F.sum("s.up").alias("ups"), F.count("*").alias("n")).where("ups > 1 OR (ups > 0 AND n > ups)")
+    return mixed.isEmpty()
+
+
+def near_components(bands: DataFrame, verify: Callable[[DataFrame], DataFrame], same: DataFrame | None = None) -> DataFrame:
     """Components of the verified near pairs among rows that share a band.
 
-    bands: (key, id), one row per id and band. verify: keeps, of pairs (a, b),
-    those that are near. Result as of components().
+    bands: (key, id), one row per id and band, a table that can be read twice.
+    verify: keeps, of pairs (a, b), those that are near. same: pairs (a, b) that
+    are known to be near. Result as of components().
 
     Every pair of ids in one bucket counts as a candidate. First each bucket's
     members are compared with its least id; then, of all pairs in a bucket,
     those whose ends are still in different components. A pair that is left
     out has its ends in one component already, so the components are those of
-    all pairs, yet a bucket of n copies costs n - 1 comparisons.
+    all pairs, yet a bucket of n copies costs n - 1 comparisons. A bucket's
+    ends are aggregated before the shuffle, its members joined to them, and
+    the pairs of a large one are spread over slices of it.
     """
-    w = Window.partitionBy("key")
-    members = written(
-        bands.withColumns({"lead": F.min("id").over(w), "top": F.max("id").over(w)})
-        .where("lead <> top")
-        .select("key", "id", "lead"),
-        "buckets",
-    )
+    ends = bands.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("top")).where("lead <> top").select("key", "lead")
+    members = written(bands.join(measured(written(ends, "ends")), "key"), "buckets")
     star = written(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "star")
     near = written(verify(star), "near")
-    comp = written(components(near), "comp")
-    labelled = (
-        members.select("key", "id")
-        .distinct()
-        .join(measured(comp, 16), "id", "left")
-        .select("key", "id", F.coalesce("root", "id").alias("root"))
-        .withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)})
-        .where("lo <> hi")
-        .select("key", "id", "root")
-    )
-    mixed = written(labelled, "mixed")
-    a, b = mixed.alias("x"), mixed.alias("y")
+    if same is not None:
+        near = near.unionByName(same.select("a", "b"))
+    comp = components(near)
+    labelled = members.select("key", "id").distinct().join(measured(comp), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    labelled = written(labelled, "labelled")
+    split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    slices = F.ceil(F.col("n") / SLICE).cast("int")
+    mixed = labelled.join(split.select("key", slices.alias("slices")), "key").withColumn("s", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    mixed = written(mixed, "mixed")
+    x = mixed.select("key", F.col("id").alias("x"), F.col("root").alias("rx"), "s", F.explode(F.sequence("s", F.col("slices") - 1)).alias("t"))
+    y = mixed.select("key", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("s").alias("t"), F.explode(F.sequence(F.lit(0), "s")).alias("s"))
     rest = (
-        a.join(b, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        x.join(y, ["key", "s", "t"])
+        .where("rx <> ry AND (s <> t OR x < y)")
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
-        .join(measured(star, 16), ["a", "b"], "left_anti")
+        .join(measured(star), ["a", "b"], "left_anti")
     )
     more = written(verify(written(rest, "rest")), "near")
     if more.isEmpty():
         return comp
-    return written(components(near.unionByName(more)), "comp")
+    return components(near.unionByName(more))

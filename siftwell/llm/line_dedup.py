@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import measured, near_components, written
+from .common import measured, near_components, quoted, unused, written
 
 WIDTH, BANDS, ROWS, THRESHOLD = 8, 8, 4, 0.8
-#: Of a pair's signature coordinates so many parts must agree before its lines
-#: are compared. At the threshold of 0.8, 18 of 32 don't with 5e-4.
-AGREE = 18 / 32
 PIECE = 1 << 17
+#: Bits of a hash that tell a pair's shingles apart, beside the pair's number.
+BITS = 50
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -30,141 +29,127 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _signed(width: int, bands: int, rows: int):
-    """Adds, to the first of each line in a batch, its band keys and a byte of
-    each signature coordinate."""
+    """Adds, to the first of each line in a batch, its band keys and leaves the
+    line's words to that one only."""
 
     def run(batches):
         for batch in batches:
             line = batch.column(3).to_numpy()
             _, first = np.unique(line, return_index=True)
             first.sort()
-            raw, off = K.string_buffers(batch.column(4).take(pa.array(first)))
+            words = batch.column(4).take(pa.array(first))
+            raw, off = K.string_buffers(words)
             keys = np.zeros((len(first), bands), np.int64)
-            marks = np.zeros((len(first), bands * rows), np.uint8)
             for i, j in K.pieces(off, PIECE):
                 values, starts, count = K.char_shingles(raw[off[i] : off[j]], off[i : j + 1] - off[i], width)
-                sig = K.minhash(values, starts, count, bands * rows)
-                keys[i:j], marks[i:j] = K.band_keys(sig, bands), (sig * np.uint32(2654435769)) >> np.uint32(24)
+                keys[i:j] = K.band_keys(K.minhash(values, starts, count, bands * rows), bands)
             ends = np.zeros(len(line) + 1, np.int32)
             ends[first + 1] = bands
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(keys.ravel()))
-            spread = np.zeros(len(line) + 1, np.int32)
-            spread[first + 1] = bands * rows
-            cuts = np.cumsum(spread, dtype=np.int32)
-            short = pa.Array.from_buffers(pa.binary(), len(line), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(marks.tobytes())])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists, short], ["doc_id", "tid", "line_no", "line", "keys", "marks"])
+            at = np.full(len(line), -1)
+            at[first] = np.arange(len(first))
+            once = words.take(pa.array(at, mask=at < 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists, once], ["doc_id", "tid", "line_no", "line", "keys", "words"])
 
     return run
 
 
-def _distinct(values: np.ndarray) -> np.ndarray:
+def _sets(text: pa.Array, i: int, j: int, width: int) -> np.ndarray:
+    """The sorted distinct shingles of rows i to j, in the upper bits each
+    row's number."""
+    raw, off = K.string_buffers(text.slice(i, j - i))
+    values, _, count = K.char_shingles(raw, off, width)
+    values >>= np.uint64(64 - BITS)
+    values |= np.repeat(np.arange(j - i, dtype=np.uint64), count) << np.uint64(BITS)
     values.sort()
     new = np.ones(len(values), bool)
     np.not_equal(values[1:], values[:-1], out=new[1:])
     return values[new]
 
 
-def _jaccard(width: int):
-    def pairwise(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        (ra, oa), (rb, ob) = K.string_buffers(a), K.string_buffers(b)
-        i, n = 0, len(oa) - 1
-        while i < n:
-            j = i + 1
-            while j < n and oa[j + 1] - oa[i] + ob[j + 1] - ob[i] < PIECE:
-                j += 1
-            va, sa, ca = K.char_shingles(ra[oa[i] : oa[j]], oa[i : j + 1] - oa[i], width)
-            vb, sb, cb = K.char_shingles(rb[ob[i] : ob[j]], ob[i : j + 1] - ob[i], width)
-            for k in range(j - i):
-                x, y = _distinct(va[sa[k] : sa[k] + ca[k]]), _distinct(vb[sb[k] : sb[k] + cb[k]])
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                common = np.count_nonzero(both[1:] == both[:-1])
-                out.append(common / max(1, len(both) - common))
-            i = j
-        return pa.array(out, pa.float64())
+def jaccards(a: pa.Array, b: pa.Array, width: int) -> np.ndarray:
+    """The Jaccard similarity of the shingle sets of each pair of lines. Many
+    pairs are sorted and intersected at once."""
+    out = np.zeros(len(a))
+    size = np.diff(K.string_buffers(a)[1]) + np.diff(K.string_buffers(b)[1])
+    for i, j in K.pieces(np.r_[0, np.cumsum(size)], PIECE, 1 << (64 - BITS)):
+        x, y = _sets(a, i, j, width), _sets(b, i, j, width)
+        row = lambda v: np.bincount((v >> np.uint64(BITS)).astype(np.int64), minlength=j - i)  # noqa: E731, B023
+        both = np.concatenate((x, y))
+        both.sort(kind="stable")
+        common = row(both[1:][both[1:] == both[:-1]])
+        out[i:j] = common / np.maximum(1, row(x) + row(y) - common)
+    return out
 
-    return F.arrow_udf(pairwise, "double")
 
-
-def _agreement(length: int):
-    def share(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(s.to_pylist()), np.uint8).reshape(-1, length) for s in (a, b))
-        return pa.array((x == y).mean(axis=1))
-
-    return F.arrow_udf(share, "double")
-
-
-def line_components(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, agree: float = AGREE) -> tuple[DataFrame, DataFrame]:
+def line_components(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """All lines (doc_id, tid, line_no, line) and (id, root) of the near ones,
     where line, id and root are 64-bit hashes of trimmed lines."""
     named = _lines(docs).select("doc_id", "tid", "line_no", F.xxhash64("line").alias("line"), F.col("line").alias("words"))
-    signed = written(named.mapInArrow(_signed(width, bands, rows), "doc_id long, tid long, line_no int, line long, keys array<long>, marks binary"), "lines")
+    signed = written(named.mapInArrow(_signed(width, bands, rows), "doc_id long, tid long, line_no int, line long, keys array<long>, words string"), "lines")
     banded = signed.where(F.size("keys") > 0).select(F.col("line").alias("id"), F.explode("keys").alias("key"))
-    jaccard, agreement = _jaccard(width), _agreement(bands * rows)
-    marked = signed.where(F.length("marks") > 0).groupBy(F.col("line").alias("id")).agg(F.max("marks").alias("marks"))
+    jaccard = F.arrow_udf(lambda a, b: pa.array(jaccards(a, b, width)), "double")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        m = written(marked.join(measured(written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"), 8), "id", "left_semi"), "marks")
-        alike = pairs.join(m.withColumnsRenamed({"id": "a", "marks": "ma"}), "a").join(m.withColumnsRenamed({"id": "b", "marks": "mb"}), "b")
-        pairs = written(alike.where(agreement("ma", "mb") >= agree).select("a", "b"), "alike")
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        texts = named.select(F.col("line").alias("id"), "words").join(measured(ids, 8), "id", "left_semi").groupBy("id").agg(F.min("words").alias("words"))
-        texts = written(texts, "texts")
+        texts = signed.where("words IS NOT NULL").select(F.col("line").alias("id"), "words").join(measured(ids), "id", "left_semi")
+        texts = written(texts.groupBy("id").agg(F.min("words").alias("words")), "texts")
         left, right = texts.withColumnsRenamed({"id": "a", "words": "wa"}), texts.withColumnsRenamed({"id": "b", "words": "wb"})
         return pairs.join(left, "a").join(right, "b").where(jaccard("wa", "wb") >= threshold).select("a", "b")
 
-    return signed.drop("keys", "marks"), near_components(banded, verify)
+    return signed.drop("keys", "words"), near_components(banded, verify)
 
 
 def drop_near_lines(docs: DataFrame, **params) -> DataFrame:
     """docs, their text without the lines that nearly repeat another, and with
-    n_lines and n_dropped; other columns as given.
-
-    Lines are parted by newlines and compared without the space around them;
-    those of nothing else are left where they are. Near: Jaccard similarity of
-    the sets of 8-character shingles of at least 0.8; a shorter line is its own
-    shingle, so near only to itself. Groups are the connected components over
-    the whole table. Of each, the line of the least (doc_id, line number)
-    stays. A pair at the threshold shares one of 8 bands of 4 with 0.985, at
-    0.9 with 0.9999; pairs that share one, and agree in 18 of 32 coordinates,
-    are verified on the full sets. Lines are told apart by a 64-bit hash.
+    n_lines and n_dropped; other columns as given, whatever their names (an
+    existing n_lines or n_dropped is replaced).
+
+    Lines are parted by newlines and compared, whole and of any length, without
+    the space around them; those of nothing else are left where they are. Near:
+    Jaccard similarity of the sets of 8-character shingles of at least 0.8; a
+    shorter line is its own shingle, so near only to itself. Groups are the
+    connected components over the whole table. Of each, the line of the least
+    (doc_id, line number) stays; of one place in two texts of a doc_id, the one
+    of the text of least hash. A pair at the threshold shares one of 8 bands of
+    4 with 0.985, at 0.9 with 0.9999; all pairs that share one are verified on
+    the full sets. Lines are told apart by a 64-bit hash, a pair's shingles by
+    one of 50 bits.
 
     A row with a null doc_id or a null text is passed on as it is (its counts
-    are null) and keeps others from nothing. Rows that repeat doc_id and text
-    are one document; of rows that share only the doc_id each is judged by its
-    own text. An existing n_lines or n_dropped is replaced.
+    are null) and keeps others from nothing; an empty text has one line and
+    loses none. Rows that repeat doc_id and text are one document; of rows that
+    share only the doc_id each is judged by its own text. An empty table stays
+    empty.
     """
     lines, comp = line_components(docs, **params)
-    rooted = lines.join(measured(comp.withColumnRenamed("id", "line"), 16), "line", "left").select("doc_id", "tid", "line_no", F.coalesce("root", "line").alias("root"))
+    rooted = lines.join(measured(comp.withColumnRenamed("id", "line")), "line", "left").select("doc_id", "tid", "line_no", F.coalesce("root", "line").alias("root"))
     place = F.struct("doc_id", "line_no", "tid")
     keepers = rooted.groupBy("root").agg(F.min(place).alias("keep"), F.max(place).alias("last")).where("keep <> last").select("root", "keep")
     keepers = written(keepers, "keepers")
+    doc, tid, gone = unused(docs.columns, "doc", "tid", "gone")
     dropped = (
-        rooted.join(measured(keepers, 40), "root")
+        rooted.join(measured(keepers), "root")
         .where(place != F.col("keep"))
-        .groupBy(F.col("doc_id").alias("__doc"), F.col("tid").alias("__tid"))
-        .agg(F.collect_set("line_no").alias("__gone"))
+        .groupBy(F.col("doc_id").alias(doc), F.col("tid").alias(tid))
+        .agg(F.collect_set("line_no").alias(gone))
     )
-    dropped = written(dropped, "dropped")
-    size = dropped.agg(F.count("*"), F.coalesce(F.sum(F.size("__gone")), F.lit(0))).first()
-    side = measured(dropped, 40 + 4 * int(size[1]) // max(1, size[0]))
     text = F.col("text").cast("string")
-    joined = docs.join(side, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.xxhash64(text) == F.col("__tid")), "left")
-    return _without(joined, text, docs.columns)
+    joined = docs.join(measured(written(dropped, "dropped")), (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(text) == F.col(tid)), "left")
+    return _without(joined, text, docs.columns, F.col(gone))
 
 
-def _without(joined: DataFrame, text: Column, columns: list[str]) -> DataFrame:
+def _without(joined: DataFrame, text: Column, columns: list[str], gone: Column) -> DataFrame:
     parts = F.split(text, "\n")
-    gone = F.map_from_arrays("__gone", "__gone")
-    stay = F.array_join(F.filter(parts, lambda x, i: ~F.map_contains_key(gone, i)), "\n")
-    short = F.size("__gone") <= 16
-    few = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    index = F.map_from_arrays(gone, gone)
+    stay = F.array_join(F.filter(parts, lambda x, i: ~F.map_contains_key(index, i)), "\n")
+    # few numbers are found faster in the array, many in a map; the rows are the same
+    few = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n")
     known = F.col("doc_id").isNotNull() & text.isNotNull()
-    new = F.when(F.col("__gone").isNull(), text).when(short, few).otherwise(stay)
-    kept = [new.alias(c) if c == "text" else F.col(c) for c in columns if c not in ("n_lines", "n_dropped")]
+    new = F.when(gone.isNull(), text).when(F.size(gone) <= 16, few).otherwise(stay)
+    kept = [new.alias(c) if c == "text" else F.col(quoted(c)) for c in columns if c.lower() not in ("n_lines", "n_dropped")]
     return joined.select(
         *kept,
         F.when(known, F.size(parts)).alias("n_lines"),
-        F.when(known, F.coalesce(F.size("__gone"), F.lit(0))).alias("n_dropped"),
+        F.when(known, F.coalesce(F.size(gone), F.lit(0))).alias("n_dropped"),
     )
