@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import measured, written
+from .common import components, measured, unused, written
 
-THRESHOLD, LEADING, BLOCK, LEAF = 0.95, 8, 2048, 512
+THRESHOLD, LEADING, BLOCK, LEAF = 0.95, 8, 4096, 512
+#: Vectors of up to so many numbers have their whole covariance computed.
+WHOLE = 1024
 
 
 def _unit(batch: pd.Series, dims: int, kind: type) -> np.ndarray:
@@ -37,14 +41,32 @@ def _packed(dims: int, kind: type):
 
 def _axes(unit: DataFrame, dims: int, leading: int, number: type) -> np.ndarray:
     """The leading principal directions over all vectors. The driver receives a
-    matrix of dims x dims from each group of partitions, not the vectors."""
+    matrix from each group of partitions, not the vectors: of dims x dims, or,
+    for long vectors, of dims x leading in each of three subspace iterations.
+    Any orthonormal directions give the same pairs, these skip the most."""
+    whole = dims <= WHOLE
+    q = np.eye(dims) if whole else np.linalg.qr(np.random.default_rng(7).normal(size=(dims, leading)))[0]
+    for _ in range(1 if whole else 3):
+        got = _spread(unit, dims, q, number)
+        if got is None:
+            return q[:, :leading]
+        mean, cov = got
+        if whole:
+            return np.linalg.eigh(cov - np.outer(mean, mean))[1][:, ::-1][:, :leading]
+        q = np.linalg.qr(cov - np.outer(mean, mean @ q))[0]
+    return q
+
+
+def _spread(unit: DataFrame, dims: int, q: np.ndarray, number: type) -> tuple[np.ndarray, np.ndarray] | None:
+    """The mean of all vectors x, and the mean of x (x q)."""
+    width = q.shape[1]
 
     def sums(batches):
-        n, s, c = 0, np.zeros(dims), np.zeros((dims, dims))
+        n, s, c = 0, np.zeros(dims), np.zeros((dims, width))
         for pdf in batches:
             if len(pdf):
                 x = _unit(pdf["v"], dims, number)
-                n, s, c = n + len(x), s + x.sum(axis=0), c + x.T @ x
+                n, s, c = n + len(x), s + x.sum(axis=0), c + x.T @ (x if width == dims else x @ q)
         if n:
             yield pd.DataFrame({"n": [n], "s": [s.tobytes()], "c": [c.tobytes()]})
 
@@ -58,11 +80,7 @@ def _axes(unit: DataFrame, dims: int, leading: int, number: type) -> np.ndarray:
     for fan in (256, 1):
         parts = parts.groupBy((F.xxhash64("s") % fan).alias("g")).applyInPandas(lambda pdf: add(pdf.sort_values("s")), kind)
     row = parts.first()
-    if row is None:
-        return np.eye(dims)[:, :leading]
-    mean = np.frombuffer(row["s"]) / row["n"]
-    cov = np.frombuffer(row["c"]).reshape(dims, dims) / row["n"] - np.outer(mean, mean)
-    return np.linalg.eigh(cov)[1][:, ::-1][:, :leading]
+    return row and (np.frombuffer(row["s"]) / row["n"], np.frombuffer(row["c"]).reshape(dims, width) / row["n"])
 
 
 def join_intervals(x: np.ndarray, zx: np.ndarray, y: np.ndarray, zy: np.ndarray, eps: float, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -101,14 +119,17 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, leading: int
 
     On unit vectors the cosine bounds the distance by eps = sqrt(2 - 2
     threshold). Cells of side eps on the leading principal directions give the
-    epsilon grid order; blocks of consecutive vectors in it are joined with
-    those in neighbouring cells of the first direction whose boxes aren't
+    epsilon grid order, in which the vectors are range partitioned and sorted;
+    blocks of consecutive ones in a partition are joined with those that hold
+    a neighbouring cell of the first two directions and whose boxes aren't
     further apart than eps, recursively, skipping halves that are.
 
-    Compared are vectors of one length. A null id, a null, empty or zero vector
-    and one with a null, NaN or infinite number match nothing. Wholly equal
-    rows are one; an id doesn't match itself, and with several vectors it
-    matches by any of them.
+    Compared are vectors of one length, all their numbers, however many. A null
+    id, a null, empty or zero vector and one with a null, NaN or infinite number
+    match nothing. Wholly equal rows are one; an id doesn't match itself, and
+    with several vectors it matches by any of them. A cosine that ties with the
+    threshold, to 1e-9, is near. An empty table has no pairs; other columns than
+    vec_id and embedding aren't read, whatever their names.
     """
     kind = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -121,6 +142,32 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, leading: int
     return out
 
 
+def _blocks(block: int):
+    """Numbers the runs of so many consecutive rows of a partition."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        first, seen = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            number = first + (np.arange(batch.num_rows) + seen) // block
+            seen += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number)], ["id", "v", "z", "cell", "block"])
+
+    return run
+
+
+def drop_near_vectors(vectors: DataFrame, **params) -> DataFrame:
+    """vectors without all but one (the least vec_id) of every connected group
+    of near ones; columns as given, whatever their names. Rows that match
+    nothing stay, rows that repeat a vec_id stay or go together. An empty table
+    stays empty. Parameters, and what is near, as of near_vectors()."""
+    (gone,) = unused(vectors.columns, "gone")
+    pairs = written(near_vectors(vectors, **params).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "near")
+    out = written(components(pairs).select(F.col("id").alias(gone)), "gone")
+    return vectors.join(measured(out), F.col("vec_id").cast("long") == F.col(gone), "left_anti")
+
+
 def _near_of_length(rows: DataFrame, dims: int, kind: type, threshold: float, leading: int, block: int) -> DataFrame:
     eps = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
     unit = written(rows.mapInPandas(_packed(dims, kind), "id long, v binary"), "unit")
@@ -131,18 +178,20 @@ def _near_of_length(rows: DataFrame, dims: int, kind: type, threshold: float, le
             if len(pdf):
                 yield pdf.assign(z=list(_unit(pdf["v"], dims, kind) @ axes))
 
-    placed = unit.mapInPandas(projected, "id long, v binary, z array<double>").withColumn("cell", F.transform("z", lambda x: F.floor(x / eps).cast("int")))
-    # Blocks are runs of rows in grid order, cut within the first two cells.
-    key = Window.partitionBy("head").orderBy("cell", "id", "v")
-    ordered = placed.withColumn("head", F.slice("cell", 1, 2)).withColumn("block", F.xxhash64("head", F.floor((F.row_number().over(key) - 1) / block)))
-    ordered = written(ordered.select("id", "v", "z", "cell", "block"), "ordered")
+    cells = [F.floor(F.col("z")[k] / eps).cast("int") for k in range(leading)]
+    placed = unit.mapInPandas(projected, "id long, v binary, z array<double>").withColumn("cell", F.array(*cells))
+    order = [F.col("cell")[k] for k in range(leading)] + [F.col("id"), F.col("v")]
+    sequence = written(placed, "placed").repartitionByRange(*order[:-1]).sortWithinPartitions(*order)
+    ordered = written(sequence.mapInArrow(_blocks(block), "id long, v binary, z array<double>, cell array<int>, block long"), "ordered")
     sides = [F.struct(F.min(F.col("z")[k]).alias("lo"), F.max(F.col("z")[k]).alias("hi")) for k in range(leading)]
-    blocks = written(ordered.groupBy("block").agg(F.array(*sides).alias("box"), F.min(F.col("cell")[0]).alias("first")), "blocks")
-    left = blocks.select(F.col("block").alias("a"), F.col("box").alias("ba"), F.explode(F.array(*[F.col("first") + k for k in (-1, 0, 1)])).alias("near"))
-    right = blocks.select(F.col("block").alias("b"), F.col("box").alias("bb"), F.col("first").alias("near"))
+    heads = F.collect_set(F.slice("cell", 1, 2)).alias("heads")
+    blocks = written(ordered.groupBy("block").agg(F.array(*sides).alias("box"), heads), "blocks")
+    near = [F.array(*(F.col("head")[k] + x for k, x in enumerate(d))) for d in itertools.product((-1, 0, 1), repeat=min(2, leading))]
+    left = blocks.select(F.col("block").alias("a"), F.col("box").alias("ba"), F.explode("heads").alias("head")).select("a", "ba", F.explode(F.array(*near)).alias("near")).distinct()
+    right = blocks.select(F.col("block").alias("b"), F.col("box").alias("bb"), F.explode("heads").alias("near"))
     gap = F.transform(F.arrays_zip("ba", "bb"), lambda x: F.greatest(F.lit(0.0), x["ba"]["lo"] - x["bb"]["hi"], x["bb"]["lo"] - x["ba"]["hi"]))
     apart = F.aggregate(gap, F.lit(0.0), lambda s, g: s + g * g) > eps * eps
-    pairs = written(left.join(right, "near").where((F.col("a") <= F.col("b")) & ~apart).select("a", "b"), "pairs")
+    pairs = written(left.join(right, "near").where((F.col("a") <= F.col("b")) & ~apart).select("a", "b").distinct(), "pairs")
     ends = pairs.select("a", "b", F.col("a").alias("block"), F.lit(0).alias("side")).unionByName(pairs.where("a <> b").select("a", "b", F.col("b").alias("block"), F.lit(1).alias("side")))
     sent = ends.join(ordered.select("block", "id", "v", "cell"), "block").select("a", "b", "side", "id", "v", "cell")
 

@@ -3,15 +3,22 @@ binary-fuse filters."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import measured, written
+from .common import given, measured, unused, written
 
-U64, U32 = np.uint64, np.uint32
+U64 = np.uint64
 KEYS_PER_FILTER = 1 << 17
+#: Filters of up to so many bytes in all are sent to every task.
+FILTER_BYTES = 64 << 20
+#: The generation of a row that names none.
+LAST = 2**31 - 1
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -94,63 +101,153 @@ def filter_contains(blob: bytes, keys: np.ndarray) -> np.ndarray:
     return (h ^ (h >> U64(32))).astype(np.uint8) == table[x] ^ table[y] ^ table[z]
 
 
-def snapshot_filters(digests: DataFrame, shards: int) -> DataFrame:
-    """(shard, filter): one static filter for each shard of the digests h."""
+def _shard(digest: Column, shards: Column) -> Column:
+    return F.pmod(F.shiftright(digest, 20), shards).cast("int")
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "filter": [build_filter(pdf["h"].to_numpy().view(U64))]})
 
-    return digests.select(_shard(shards).alias("shard"), "h").groupBy("shard").applyInPandas(build, "shard int, filter binary")
+def snapshot_filters(digests: DataFrame, keys_per_filter: int = KEYS_PER_FILTER) -> DataFrame:
+    """(gen, shards, shard, filter): of each snapshot gen, one static filter for
+    every shard of about so many of its distinct digests h."""
 
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        return pd.DataFrame({"gen": [row["gen"]], "shards": [row["shards"]], "shard": [row["shard"]], "filter": [build_filter(pdf["h"].to_numpy().view(U64))]})
 
-def _shard(shards: int) -> Column:
-    return F.pmod(F.shiftright("h", 20), F.lit(shards)).cast("int")
+    sizes = digests.groupBy("gen").agg(F.ceil(F.count("*") / keys_per_filter).cast("int").alias("shards"))
+    keyed = digests.select("gen", "h").join(F.broadcast(sizes), "gen").withColumn("shard", _shard(F.col("h"), F.col("shards")))
+    return keyed.groupBy("gen", "shard").applyInPandas(build, "gen int, shards int, shard int, filter binary")
 
 
-def screen(incoming: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """Incoming digests h that their shard's filter lets through."""
+def screen(incoming: DataFrame, filters: DataFrame, limit: int = FILTER_BYTES) -> DataFrame:
+    """Of incoming (gen, h), the rows that a filter of an earlier snapshot lets
+    through, with that snapshot's number: (gen, h, known).
 
-    def look(new: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    filters: a written table. While they take at most limit bytes in all, every
+    task has them and nothing is shuffled but, later, the rows that pass; beyond
+    it, digests meet their shard's filter by a shuffle. The rows are the same.
+    """
+    size = filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0))).first()[0]
+    if size <= limit:
+        known: dict[int, dict[int, bytes]] = {}
+        shards: dict[int, int] = {}
+        for r in filters.collect():
+            known.setdefault(r["gen"], {})[r["shard"]] = bytes(r["filter"])
+            shards[r["gen"]] = r["shards"]
+        sent = incoming.sparkSession.sparkContext.broadcast((known, shards))
+
+        def look(batches):
+            known, shards = sent.value
+            for batch in batches:
+                gen, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                for g in sorted(known):
+                    rows = np.flatnonzero(gen > g)
+                    at = (h[rows] >> 20) % shards[g]
+                    for shard in np.unique(at).tolist():
+                        blob = known[g].get(shard)
+                        if blob is not None:
+                            mine = rows[at == shard]
+                            mine = mine[filter_contains(blob, h[mine].view(U64))]
+                            if len(mine):
+                                yield pa.RecordBatch.from_arrays([pa.array(gen[mine]), pa.array(h[mine]), pa.array(np.full(len(mine), g, np.int32))], ["gen", "h", "known"])
+
+        return incoming.select("gen", "h").mapInArrow(look, "gen int, h long, known int")
+
+    def meet(new: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if not len(known) or not len(new):
-            return new[["h"]].iloc[:0]
-        return new.loc[filter_contains(known["filter"].iloc[0], new["h"].to_numpy().view(U64)), ["h"]]
+            return pd.DataFrame({"gen": [], "h": [], "known": []}).astype({"gen": "int32", "h": "int64", "known": "int32"})
+        out = new[filter_contains(known["filter"].iloc[0], new["h"].to_numpy().view(U64))]
+        return pd.DataFrame({"gen": out["gen"], "h": out["h"], "known": known["gen"].iloc[0]})
 
-    left = incoming.select(_shard(shards).alias("shard"), "h").distinct()
-    return left.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(look, "h long")
+    sizes = filters.groupBy(F.col("gen").alias("known")).agg(F.first("shards").alias("shards"))
+    left = incoming.select("gen", "h").join(F.broadcast(sizes), F.col("gen") > F.col("known")).withColumn("shard", _shard(F.col("h"), F.col("shards")))
+    right = filters.withColumn("known", F.col("gen"))
+    return left.groupBy("known", "shard").cogroup(right.groupBy("known", "shard")).applyInPandas(meet, "gen int, h long, known int")
 
 
-def drop_exact_duplicates(docs: DataFrame, generation: Column | None = None, generations: int = 2, keys_per_filter: int = KEYS_PER_FILTER) -> DataFrame:
-    """docs with one row of each distinct text; columns as given.
+def digest(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
 
-    Documents arrive in generations (by default by doc_id modulo 2, null last);
-    what earlier ones hold is an immutable snapshot with static filters. A
-    generation's digests are screened by the filters; positives are looked up
-    in the snapshot's exact buckets, and copies within the generation are
-    grouped apart. Where digests agree the texts themselves are compared. The
-    row that stays is of the earliest generation, then of the least doc_id
-    (null last); of rows equal in both, the least by lang, source and n_chars
-    as text where there are such columns, and any of wholly equal rows.
 
-    A null text is no text: such rows all stay. An empty text is a text.
+def drop_exact_duplicates(docs: DataFrame, generation: Column | None = None, generations: int = 2, keys_per_filter: int = KEYS_PER_FILTER, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """docs with one row of each distinct text; columns as given, whatever
+    their names.
+
+    Documents arrive in generations, in the order of any integer column (by
+    default doc_id modulo `generations`); a null comes last. Each generation's
+    distinct digests are an immutable snapshot with static filters of its own,
+    both written. A generation's digests are screened by the filters of the
+    snapshots before it; positives are looked up in these snapshots' exact
+    digests, and copies within the generation are grouped apart. Where digests
+    agree the texts themselves are compared, whole and of any length. The row
+    that stays is of the earliest generation, then of the least doc_id (null
+    last); of rows equal in both, the least by lang, source and n_chars as text
+    where there are such columns, and any of wholly equal rows.
+
+    A null text is no text: such rows all stay. An empty text is a text. An
+    empty table stays empty.
+    """
+    number = generation if generation is not None else F.abs(F.col("doc_id") % generations)
+    gen, h, rank, known = unused(docs.columns, "gen", "digest", "rank", "known")
+    keyed = docs.withColumns({h: digest(F.col("text")), gen: F.coalesce(number.cast("int"), F.lit(LAST))})
+    held = keyed.where("text IS NOT NULL").groupBy(F.col(gen).alias("gen"), F.col(h).alias("h")).agg(F.count("*").alias("n"))
+    digests = written(held, "digests")
+    filters = written(snapshot_filters(digests, keys_per_filter), "filters")
+    passed = screen(digests, filters, filter_bytes)
+    exact = digests.select(F.col("gen").alias("known"), "h")
+    twice = digests.where("n > 1").select("h").unionByName(passed.join(exact, ["known", "h"], "left_semi").select("h"))
+    marked = measured(written(twice.distinct().select(F.col("h").alias(known)), "twice"))
+    alone = keyed.join(marked, F.col("text").isNotNull() & (F.col(h) == F.col(known)), "left_anti")
+    alike = keyed.where("text IS NOT NULL").join(marked, F.col(h) == F.col(known), "left_semi")
+    return alone.select(*given(docs.columns)).unionByName(_firsts(alike, docs.columns, h, [F.col(gen).asc()], rank))
+
+
+def _firsts(alike: DataFrame, columns: list[str], h: str, before: list[Column], rank: str) -> DataFrame:
+    more = [F.col(c).cast("string").asc_nulls_last() for c in ("lang", "source", "n_chars") if c in columns]
+    first = Window.partitionBy(h, F.col("text").cast("string")).orderBy(*before, F.col("doc_id").asc_nulls_last(), *more)
+    return alike.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).select(*given(columns))
+
+
+def append(batch: DataFrame, store: str, keys_per_filter: int = KEYS_PER_FILTER, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+    """The rows of a batch (as of drop_exact_duplicates) whose texts the store
+    doesn't hold; they become its next snapshot, an immutable folder of rows,
+    digests and filters, which is read only when its _COMPLETE mark is there.
+
+    Only the batch's digests that pass a snapshot's filter are looked up in
+    that snapshot, and only texts with a known digest are compared with its
+    rows. Rows with a null text are always new. A batch's columns must be those
+    of the first one; an empty batch makes an empty snapshot. One batch is
+    appended at a time; what a failed append left is overwritten by the next.
     """
-    gen = generation if generation is not None else F.coalesce(F.abs(F.col("doc_id") % generations), F.lit(generations - 1)).cast("int")
-    keyed = docs.withColumns({"__h": F.xxhash64(F.col("text").cast("string")), "__gen": gen})
-    digests = written(keyed.where("text IS NOT NULL").groupBy(F.col("__gen").alias("gen"), F.col("__h").alias("h")).agg(F.count("*").alias("n")), "digests")
-    twice = digests.where("n > 1").select("h")
-    known = None
-    for g in range(generations):
-        batch = digests.where(F.col("gen") == g).select("h")
-        if known is not None:
-            shards = max(1, -(-known.count() // keys_per_filter))
-            passed = screen(batch, snapshot_filters(known, shards), shards)
-            twice = twice.unionByName(passed.join(known, "h", "left_semi"))
-            known = known.unionByName(batch)
-        else:
-            known = batch
-    marked = measured(written(twice.distinct().withColumnRenamed("h", "__d"), "twice"), 8)
-    alone = keyed.join(marked, F.col("text").isNotNull() & (F.col("__h") == F.col("__d")), "left_anti")
-    alike = keyed.where("text IS NOT NULL").join(marked, F.col("__h") == F.col("__d"), "left_semi")
-    more = [F.col(c).cast("string").asc_nulls_last() for c in ("lang", "source", "n_chars") if c in docs.columns]
-    first = Window.partitionBy("__h", "text").orderBy("__gen", F.col("doc_id").asc_nulls_last(), *more)
-    kept = alike.withColumn("__rn", F.row_number().over(first)).where("__rn = 1")
-    return alone.select(*docs.columns).unionByName(kept.select(*docs.columns))
+    spark = batch.sparkSession
+    fs, path = _files(spark, store)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path(store))) if fs.exists(path(store)) else []
+    done = [x for x in names if x.startswith("snapshot-") and fs.exists(path(f"{store}/{x}/_COMPLETE"))]
+    old = [spark.read.parquet(f"{store}/{x}/filters").withColumn("gen", F.lit(k).cast("int")) for k, x in enumerate(done)]
+    h, rank, known = unused(batch.columns, "digest", "rank", "known")
+    keyed = written(batch.withColumn(h, digest(F.col("text"))), "batch")
+    firsts = _firsts(keyed.where("text IS NOT NULL"), batch.columns, h, [], rank).unionByName(keyed.where("text IS NULL").select(*given(batch.columns)))
+    fresh = firsts
+    if done:
+        filters = written(reduce(DataFrame.unionByName, old), "filters")
+        coming = keyed.where("text IS NOT NULL").select(F.lit(len(done)).cast("int").alias("gen"), F.col(h).alias("h")).distinct()
+        passed = written(screen(coming, filters, filter_bytes), "passed")
+        held = []
+        for k, x in enumerate(done):
+            mine = passed.where(F.col("known") == k).select("h")
+            hits = written(spark.read.parquet(f"{store}/{x}/digests").join(measured(mine), "h", "left_semi").select("h"), "hits")
+            rows = spark.read.parquet(f"{store}/{x}/rows").where("text IS NOT NULL").select(F.col("text").cast("string").alias(known))
+            held.append(rows.join(measured(hits), digest(F.col(known)) == F.col("h"), "left_semi"))
+        texts = reduce(DataFrame.unionByName, held).withColumn(h, digest(F.col(known)))
+        fresh = firsts.withColumn(rank, digest(F.col("text"))).join(texts, (F.col(rank) == F.col(h)) & (F.col("text").cast("string") == F.col(known)), "left_anti").select(*given(batch.columns))
+    name = f"{store}/snapshot-{len(done):06d}"
+    fresh.write.mode("overwrite").parquet(f"{name}/rows")
+    rows = spark.read.schema(fresh.schema).parquet(f"{name}/rows")
+    rows.where("text IS NOT NULL").select(F.lit(0).alias("gen"), digest(F.col("text")).alias("h")).distinct().write.mode("overwrite").parquet(f"{name}/digests")
+    snapshot_filters(spark.read.parquet(f"{name}/digests"), keys_per_filter).write.mode("overwrite").parquet(f"{name}/filters")
+    fs.create(path(f"{name}/_COMPLETE"), True).close()
+    return rows
+
+
+def _files(spark: SparkSession, store: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path(store).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path

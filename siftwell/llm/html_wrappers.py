@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import json
 import re
@@ -20,7 +21,6 @@ _CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _ASIDE = frozenset("nav footer aside head".split())
 _MAIN = frozenset("article main".split())
-_ASIDE_CLASS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs cookie menu nav navbar promo sidebar sponsored".split())
 #: Elements whose end may be left out in HTML, and is no token.
 _OPEN_ENDED = frozenset("p li td th tr dt dd option optgroup thead tbody tfoot body html".split())
 #: Units of up to 64 tokens; _wide() finds the longer ones.
@@ -62,17 +62,33 @@ TEXT = "#"
 SHARE = 0.2
 
 
+#: Symbols that are possible, and distinct ones that a page or a host may add
+#: with the classes of its tags; beyond that its tags are told by name alone.
+SPACE, MANY = 0x10F000, 250_000
+#: Cells of an alignment whose rows are kept, a bit each; larger ones are split.
+CELLS = 1 << 28
+
+
+class _Full(Exception):
+    pass
+
+
 class Symbols:
     """One character for each tag, and for each repeated group of them."""
 
     def __init__(self) -> None:
         self.char: dict = {TEXT: TEXT}
         self.item: dict = {TEXT: TEXT}
+        self.limit = SPACE
 
     def of(self, item) -> str:
         c = self.char.get(item)
         if c is None:
-            c = self.char[item] = chr(0xF0000 + len(self.char))
+            n = len(self.char)
+            if n >= self.limit:
+                raise _Full
+            n += 0x100 if n < 0xD700 else 0x900  # not the surrogates
+            c = self.char[item] = chr(n)
             self.item[c] = item
         return c
 
@@ -89,30 +105,36 @@ class _Open:
     content. Ends are implied where HTML implies them: by a sibling's start, by
     a parent's end, and for head by what can't stand in one."""
 
-    def __init__(self) -> None:
+    def __init__(self, classes: frozenset) -> None:
         self.names: list[str] = []
-        self.region = -1
+        self.places: dict[str, list[int]] = {}
+        self.classes, self.region = classes, -1
 
     def _cut(self, k: int) -> None:
+        for name in self.names[k:]:
+            places = self.places[name]
+            while places and places[-1] >= k:
+                places.pop()
         del self.names[k:]
         if k <= self.region:
             self.region = -1
 
+    def _last(self, names: frozenset) -> int:
+        """The place of the innermost open element of these names."""
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=-1)
+
     def _close(self, closed: frozenset, bounds: frozenset, all_: bool = True) -> None:
-        found = -1
-        for k in range(len(self.names) - 1, -1, -1):
-            if self.names[k] in bounds:
-                break
-            if self.names[k] in closed:
-                found = k
-                if not all_:
-                    break
-        if found >= 0:
-            self._cut(found)
+        found, bound = self._last(closed), self._last(bounds)
+        if found <= bound:
+            return
+        if all_:
+            outer = (self.places[x] for x in closed if self.places.get(x))
+            found = min(x[k] for x in outer if (k := bisect.bisect_right(x, bound)) < len(x))
+        self._cut(found)
 
     def leave_head(self) -> None:
-        if "head" in self.names:
-            self._cut(self.names.index("head"))
+        if self.places.get("head"):
+            self._cut(self.places["head"][0])
 
     def start(self, name: str, words: list[str], attributes: str) -> None:
         if name not in _IN_HEAD:
@@ -123,10 +145,11 @@ class _Open:
             self._cut(len(self.names) - 1)
         if name in _MAIN:
             self.region = -1
-        if name in _VOID or attributes.endswith("/") and not {"svg", "math"}.isdisjoint(self.names):
+        if name in _VOID or attributes.endswith("/") and (self.places.get("svg") or self.places.get("math")):
             return
-        if self.region < 0 and name not in ("html", "body") and (name in _ASIDE or not _ASIDE_CLASS.isdisjoint(words)):
+        if self.region < 0 and name not in ("html", "body") and (name in _ASIDE or not self.classes.isdisjoint(words)):
             self.region = len(self.names)
+        self.places.setdefault(name, []).append(len(self.names))
         self.names.append(name)
 
     def end(self, name: str) -> None:
@@ -139,11 +162,12 @@ class _Open:
         return self.region >= 0
 
 
-def tokens(html: str, symbols: Symbols) -> tuple[str, list[str], list[bool]]:
+def tokens(html: str, symbols: Symbols, aside_classes: frozenset = frozenset(), plain: bool = False) -> tuple[str, list[str], list[bool]]:
     """A page as one character per token, its texts, and of each whether it
     stands in a region that isn't content. Inline markup belongs to the text;
-    comments, scripts, styles and end tags that may be left out are nothing."""
-    out, texts, aside, buffer, opened = [], [], [], [], _Open()
+    comments, scripts, styles and end tags that may be left out are nothing. A
+    tag's classes belong to its token, unless plain."""
+    out, texts, aside, buffer, opened = [], [], [], [], _Open(aside_classes)
 
     def flush() -> None:
         if buffer:
@@ -178,11 +202,23 @@ def tokens(html: str, symbols: Symbols) -> tuple[str, list[str], list[bool]]:
         cls = _CLASS.search(m.group(4)) if m.group(4) else None
         words = (cls.group(1) or cls.group(2) or cls.group(3) or "").split() if cls else []
         opened.start(name, words, m.group(4))
-        out.append(symbols.of(".".join((name, " ".join(words))) if words else name))
+        out.append(symbols.of(".".join((name, " ".join(words))) if words and not plain else name))
     flush()
     return "".join(out), texts, aside
 
 
+def page_tokens(html: str, symbols: Symbols, aside_classes: frozenset, plain: bool = False) -> tuple[str, list[str], list[bool]]:
+    """tokens(), plain ones if there are too many distinct tags with classes."""
+    symbols.limit = len(symbols.char) + MANY
+    try:
+        return tokens(html, symbols, aside_classes, plain)
+    except _Full:
+        symbols.limit = SPACE
+        return tokens(html, symbols, aside_classes, True)
+    finally:
+        symbols.limit = SPACE
+
+
 def _substitute(s: str, widths: list[int], pattern: re.Pattern, item) -> tuple[str, list[int]]:
     parts, spans, last = [], [], 0
     for m in pattern.finditer(s):
@@ -270,29 +306,65 @@ def _units(items, found: set) -> set:
 
 
 def align(a: str, b: str) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence."""
-    lo = 0
-    while lo < len(a) and lo < len(b) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < len(a) - lo and hi < len(b) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below, c = table[i], table[i + 1], x[i]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if c == y[j] else max(below[j], row[j + 1])
-    pairs, i, j = [(k, k) for k in range(lo)], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            pairs.append((lo + i, lo + j))
+    """Index pairs of a longest common subsequence, by rows of bits: memory for
+    at most CELLS of them, beyond which the first string is halved where the
+    two halves' lengths add up to most."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        i, n, j, m = todo.pop()
+        tail = 0
+        while i < n and j < m and a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif table[i + 1][j] >= table[i][j + 1]:
-            i += 1
+        while n - tail > i and m - tail > j and a[n - 1 - tail] == b[m - 1 - tail]:
+            tail += 1
+            out.append((n - tail, m - tail))
+        x, y = a[i : n - tail], b[j : m - tail]
+        if not x or not y:
+            continue
+        if len(x) * len(y) <= CELLS or len(x) == 1:
+            out += [(i + p, j + q) for p, q in _traced(x, y)]
         else:
-            j += 1
-    return pairs + [(len(a) - hi + k, len(b) - hi + k) for k in range(hi)]
+            half = len(x) // 2
+            total = _lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]
+            k = int(total.argmax())
+            todo += [(i, i + half, j, j + k), (i + half, i + len(x), j + k, j + len(y))]
+    return sorted(out)
+
+
+def _bits(x: str, y: str):
+    """After each character of x, a number whose zeros are the places in y at
+    which the longest common subsequence with what came so far grows."""
+    masks = {c: 0 for c in set(x) & set(y)}
+    for c in masks:
+        raw = np.frombuffer(y.encode("utf-32-le"), np.uint32) == ord(c)
+        masks[c] = int.from_bytes(np.packbits(raw, bitorder="little").tobytes(), "little")
+    full = row = (1 << len(y)) - 1
+    for c in x:
+        hit = row & masks.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _lengths(x: str, y: str) -> np.ndarray:
+    """Of x and each prefix of y the length of the longest common subsequence."""
+    *_, row = _bits(x, y)
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(y) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate(([0], np.cumsum(bits == 0)))
+
+
+def _traced(x: str, y: str) -> list[tuple[int, int]]:
+    rows = list(_bits(x[::-1], y[::-1]))
+    i, j, out = len(x), len(y), []
+    while i and j:
+        if x[-i] == y[-j]:
+            out.append((len(x) - i, len(y) - j))
+            i, j = i - 1, j - 1
+        elif rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+    return out
 
 
 def merge(wrapper: str, groups: list[int], page: str) -> tuple[str, list[int]]:
@@ -325,8 +397,21 @@ def infer(signatures: list[tuple[str, list[int], int, list[int]]]) -> str:
     pages) of each distinct stream: items with their optional groups, the
     repeated groups that are known, and of each text slot outside of repeated
     groups its constant's hash, or 0 if it is data."""
-    symbols = Symbols()
     streams = [_load(json.loads(s)) for s, *_ in signatures]
+    try:
+        return _inferred(signatures, streams, False)
+    except _Full:
+        return _inferred(signatures, [_plain(s) for s in streams], True)
+
+
+def _plain(items) -> tuple:
+    """The items without the classes of their tags."""
+    return tuple(("+", _plain(x[1])) if isinstance(x, tuple) else x.split(".", 1)[0] for x in items)
+
+
+def _inferred(signatures: list, streams: list[tuple], plain: bool) -> str:
+    symbols = Symbols()
+    symbols.limit = SPACE if plain else MANY
     units = sorted({u for s in streams for u in _units(s, set())}, key=lambda u: (len(str(u)), str(u)))
     folded = []
     for s in streams:
@@ -350,7 +435,7 @@ def infer(signatures: list[tuple[str, list[int], int, list[int]]]) -> str:
     constants = _constants(seen, [n if any(map(_has_text, stream)) else 0 for stream, (_, _, n, _) in zip(streams, signatures)])
     if not any(v == 0 for v in constants.values()) and not any(c != TEXT and _has_text(symbols.item[c]) for c in wrapper):
         constants = dict.fromkeys(constants, 0)
-    return json.dumps({"items": symbols.items(wrapper), "groups": groups, "units": units, "const": [constants.get(k, 0) for k in range(len(wrapper))]}, separators=(",", ":"))
+    return json.dumps({"plain": plain, "items": symbols.items(wrapper), "groups": groups, "units": units, "const": [constants.get(k, 0) for k in range(len(wrapper))]}, separators=(",", ":"))
 
 
 def _constants(seen: dict[int, dict[int, int]], pages: list[int]) -> dict[int, int]:
@@ -410,11 +495,11 @@ def _summaries(batches):
     the texts that are the same on all its pages (0: they differ)."""
     symbols, memo = Symbols(), {}
     for batch in batches:
-        if len(symbols.char) > 50000:
-            symbols, memo = Symbols(), {}
         groups: dict[tuple[str, str], list] = {}
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-            s, texts, _ = tokens(page.as_py(), symbols)
+            if len(symbols.char) > MANY:
+                symbols, memo = Symbols(), {}
+            s, texts, _ = page_tokens(page.as_py(), symbols, frozenset())
             if s not in memo:
                 if len(memo) > 20000:
                     memo.clear()
@@ -466,8 +551,8 @@ class Matcher:
     """Matches pages to a wrapper; remembers what it found for each stream."""
 
     def __init__(self, wrapper: str | None, symbols: Symbols) -> None:
-        w = json.loads(wrapper) if wrapper else {"items": [], "units": [], "const": []}
-        self.symbols, self.const = symbols, w["const"]
+        w = json.loads(wrapper) if wrapper else {"plain": False, "items": [], "units": [], "const": []}
+        self.symbols, self.const, self.plain = symbols, w["const"], w["plain"]
         self.items = symbols.text_of(_load(w["items"]))
         self.units, self.memo = [x for x in _load(w["units"])], {}
 
@@ -488,30 +573,33 @@ class Matcher:
         return self.memo[s]
 
 
-def _extracted(batches):
-    symbols, matchers = Symbols(), {}
-    for batch in batches:
-        if len(symbols.char) > 50000:
-            symbols, matchers = Symbols(), {}
-        out: list[list] = [[], [], []]
-        for wrapper, page in zip(batch.column(3).to_pylist(), batch.column(2)):
-            if not page.is_valid:
-                row = (None, None, None)
-            else:
-                m = matchers.get(wrapper)
-                if m is None:
-                    if len(matchers) > 500:
-                        matchers.clear()
-                    m = matchers[wrapper] = Matcher(wrapper, symbols)
-                s, texts, aside = tokens(page.as_py(), symbols)
-                data = [not c or c != _hash(t) for c, t in zip(m.constants(s), texts)]
-                row = ("\n".join(t for t, d, a in zip(texts, data, aside) if d and not a), sum(data), len(texts) - sum(data))
-            for c, x in zip(out, row):
-                c.append(x)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], ["page_id", "host", "text", "n_data", "n_template"])
-
-
-def extract_text(pages: DataFrame) -> DataFrame:
+def _extracted(aside_classes: frozenset):
+    def run(batches):
+        symbols, matchers = Symbols(), {}
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for wrapper, page in zip(batch.column(3).to_pylist(), batch.column(2)):
+                if not page.is_valid:
+                    row = (None, None, None)
+                else:
+                    if len(symbols.char) > MANY:
+                        symbols, matchers = Symbols(), {}
+                    m = matchers.get(wrapper)
+                    if m is None:
+                        if len(matchers) > 500:
+                            matchers.clear()
+                        m = matchers[wrapper] = Matcher(wrapper, symbols)
+                    s, texts, aside = page_tokens(page.as_py(), symbols, aside_classes, m.plain)
+                    data = [not c or c != _hash(t) for c, t in zip(m.constants(s), texts)]
+                    row = ("\n".join(t for t, d, a in zip(texts, data, aside) if d and not a), sum(data), len(texts) - sum(data))
+                for c, x in zip(out, row):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], ["page_id", "host", "text", "n_data", "n_template"])
+
+    return run
+
+
+def extract_text(pages: DataFrame, aside_classes: tuple[str, ...] = ()) -> DataFrame:
     """(page_id, host, text, n_data, n_template): each page's content.
 
     The token streams of a host's pages are aligned into a wrapper, a regular
@@ -521,23 +609,26 @@ def extract_text(pages: DataFrame) -> DataFrame:
     is one that all pages with its optional group share, if they are a fifth of
     the host's and differ in each slot in which the host's pages do (copies of
     a page don't); the others are data.
-    The text of a page is its data outside of nav, footer, aside, head and
-    elements whose class says that they are such, or advertising; a line per
-    slot. Such an element ends at its end tag or where HTML implies it (a
-    sibling, the parent's end, what can't stand in a head), and before an
-    article or main; html, body and elements that are always empty are none.
-    All pages of a host take part in its wrapper, each distinct stream once.
+    The text of a page is its data outside of nav, footer, aside and head, a
+    line per slot; classes are not judged, unless aside_classes names some
+    whose elements are left out too. Such an element ends at its end tag or
+    where HTML implies it (a sibling, the parent's end, what can't stand in a
+    head), and before an article or main; html, body and elements that are
+    always empty are none. All pages of a host take part in its wrapper, each
+    distinct stream once; equally frequent ones in order of their tokens.
 
     A null html gives a null text and null counts; an empty one, or one without
     data, an empty text. A null url, or one without a host, has host null and
     no wrapper: all its texts are data, as for a host of one page or of equal
-    pages. Rows that repeat a page_id are pages each, and have a row each.
+    pages. Rows that repeat a page_id are pages each, and have a row each. Long
+    pages are taken whole; a page, or a host, with more than 250000 distinct
+    tags with their classes is compared by tag names. An empty table gives an
+    empty one; other columns aren't read, whatever their names.
     """
     url = F.col("url").cast("string")
     host = F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), F.col("html").cast("string").alias("html"))
     known = written(wrappers(base.where("host IS NOT NULL AND html IS NOT NULL")), "wrappers")
-    size = known.agg(F.coalesce(F.max(F.length("wrapper")), F.lit(0))).first()[0]
-    side = measured(known.withColumnRenamed("host", "__host"), 64 + size)
-    joined = base.join(side, F.col("host") == F.col("__host"), "left").select("page_id", "host", "html", "wrapper")
-    return joined.mapInArrow(_extracted, "page_id long, host string, text string, n_data int, n_template int")
+    side = measured(known.withColumnRenamed("host", "of"))
+    joined = base.join(side, F.col("host") == F.col("of"), "left").select("page_id", "host", "html", "wrapper")
+    return joined.mapInArrow(_extracted(frozenset(aside_classes)), "page_id long, host string, text string, n_data int, n_template int")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import measured, written
+from .common import given, measured, unused, written
 
 TEMPERATURE, EPOCHS, SEED = 0.7, 1.0, "mix-1"
 
@@ -16,19 +16,17 @@ def uniform(key: Column) -> Column:
 
 
 def poisson_table(rates: DataFrame) -> DataFrame:
-    """Adds cdf, the distribution function of Poisson(rate) at 0, 1, 2, ... as
-    far as 40 + rate + 12 sqrt(rate), beyond which nothing is left of a double.
-    Probabilities go through logarithms, so that no rate underflows."""
+    """Of rates (source, rate), adds cdf, the distribution function of
+    Poisson(rate) at 0, 1, 2, ... as far as 40 + rate + 12 sqrt(rate), beyond
+    which nothing is left of a double. Probabilities go through logarithms, so
+    that no rate underflows, and are added up by a window within a source."""
     last = F.ceil(F.lit(40) + F.col("rate") + 12 * F.sqrt("rate")).cast("int")
-    start = F.struct(F.lit(0.0).alias("lf"), F.exp(-F.col("rate")).alias("sum"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
-
-    def step(acc: Column, k: Column) -> Column:
-        lf = acc["lf"] + F.log(k.cast("double"))
-        total = acc["sum"] + F.exp(k * F.log("rate") - F.col("rate") - lf)
-        return F.struct(lf.alias("lf"), total.alias("sum"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
-
-    walk = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["cdf"])
-    return rates.withColumn("cdf", F.when(F.col("rate") > 0, walk).otherwise(F.array(F.lit(1.0))))
+    terms = rates.select("source", "rate", F.explode(F.sequence(F.lit(0), F.when(F.col("rate") > 0, last).otherwise(0))).alias("k"))
+    upto = Window.partitionBy("source", "rate").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    p = F.exp(F.col("k") * F.log("rate") - F.col("rate") - F.sum(F.log(F.greatest(F.col("k"), F.lit(1)).cast("double"))).over(upto))
+    summed = terms.withColumn("p", F.when(F.col("rate") > 0, p).otherwise(1.0)).withColumn("c", F.sum("p").over(upto))
+    lists = summed.groupBy("source", "rate").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("cdf"))
+    return lists.select("source", "rate", F.col("cdf.c").alias("cdf"))
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None, temperature: float, epochs: float) -> DataFrame:
@@ -40,8 +38,8 @@ def source_rates(docs: DataFrame, weights: DataFrame | None, temperature: float,
     if weights is None:
         sizes = sizes.withColumn("weight", F.pow(F.col("size").cast("double"), F.lit(temperature)))
     else:
-        named = weights.groupBy(F.col("source").alias("__s")).agg(F.sum("weight").alias("weight"))
-        sizes = sizes.join(named, F.col("source").eqNullSafe(F.col("__s")), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+        named = weights.groupBy(F.col("source").alias("named")).agg(F.sum("weight").alias("weight"))
+        sizes = sizes.join(named, F.col("source").eqNullSafe(F.col("named")), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     sizes = written(sizes.select("source", "size", "weight"), "sizes")
     total = sizes.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
     rate = F.lit(epochs) * F.col("all_size") * F.col("weight") / F.col("all_weight") / F.col("size")
@@ -50,29 +48,33 @@ def source_rates(docs: DataFrame, weights: DataFrame | None, temperature: float,
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, seed: str = SEED, copy_column: str | None = None) -> DataFrame:
     """docs with each row repeated as its source's weight asks, in an order
-    that is random over all sources; columns as given, and copy_column (0, 1,
-    ...) if it is named.
+    that is random over all sources; columns as given, whatever their names,
+    and copy_column (0, 1, ...) if it is named (an existing column of that name
+    is replaced).
 
     The count of a row inverts the Poisson distribution of its source's rate at
     a hash of seed and doc_id, so that it is the same wherever and whenever the
-    row is read, and sums to the target in expectation. Copies move to a
-    partition by a second hash and are sorted by it there; neighbouring rows
-    are thus unrelated.
+    row is read, and sums to the target in expectation. The distribution is
+    looked up by a scan of about as many numbers as the row has copies, and at
+    most some forty more. Copies move to a partition by a second hash and are
+    sorted by it there; neighbouring rows are thus unrelated.
 
     A null source is a source. A null or empty text has size 0 but is repeated
-    at its source's rate. A null doc_id is replaced by the text in the hash;
-    rows that repeat a doc_id get the same count.
+    at its source's rate; a long one is repeated like any other. A null doc_id
+    is replaced by the text in the hash; rows that repeat a doc_id, or are
+    wholly equal, get the same count each (a tie at a step of the distribution
+    counts as reached). An empty table stays empty.
     """
     known = docs.select(F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    table = written(poisson_table(source_rates(known, weights, temperature, epochs)), "rates").select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
-    longest = table.agg(F.coalesce(F.max(F.size("__cdf")), F.lit(0))).first()[0]
+    label, cdf, number, copy, at = unused(docs.columns, "label", "cdf", "number", "copy", "at")
+    table = written(poisson_table(source_rates(known, weights, temperature, epochs)), "rates").select(F.col("source").alias(label), F.col("cdf").alias(cdf))
     ident = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.col("text").cast("string")), F.lit("")))
-    joined = docs.join(measured(table, 64 + 8 * longest), F.col("source").cast("string").eqNullSafe(F.col("__source")))
+    joined = docs.join(measured(table), F.col("source").cast("string").eqNullSafe(F.col(label)))
     u = uniform(ident)
-    counted = joined.withColumn("__n", F.size(F.filter("__cdf", lambda c: c <= u)))
-    copies = counted.where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("__copy"), F.when(F.col("doc_id").isNull(), F.col("text")))
+    counted = joined.withColumn(number, F.size(F.filter(cdf, lambda c: c <= u)))
+    copies = counted.where(F.col(number) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(number) - 1)))
+    place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(copy), F.when(F.col("doc_id").isNull(), F.col("text")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mixed = copies.drop("__source", "__cdf", "__n").withColumn("__place", place).repartition(parts, "__place").sortWithinPartitions("__place")
-    more = [F.col("__copy").alias(copy_column)] if copy_column else []
-    return mixed.select(*docs.columns, *more)
+    mixed = copies.drop(label, cdf, number).withColumn(at, place).repartition(parts, at).sortWithinPartitions(at)
+    more = [F.col(copy).alias(copy_column)] if copy_column else []
+    return mixed.select(*given([c for c in docs.columns if c != copy_column]), *more)

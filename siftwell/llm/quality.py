@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import measured, written
+from .common import given, measured, quoted, unused, written
 
 #: Bound of the sample of labelled rows on which the two classifiers are fitted.
 #: In each round they score all unlabelled rows.
@@ -48,7 +48,9 @@ def _trigrams(raw: np.ndarray, off: np.ndarray, dims: int) -> tuple[np.ndarray,
 
 
 LAYOUT = 6
-META = 8 + LAYOUT
+#: Metadata that are names, each in so many hashed values, and that are numbers.
+NAMES, BUCKETS, NUMBERS = ("lang", "source", "url"), 32, 2
+META = len(NAMES) * BUCKETS + NUMBERS + LAYOUT
 _KIND = np.zeros((4, 256), np.int64)
 for _k, _chars in enumerate((b"\n", b" \n\t", b"|#*$%&!<>{}=~^_", b".,;:?")):
     _KIND[_k, list(_chars)] = 1
@@ -66,10 +68,21 @@ def layout_features(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.stack([np.log(n) / 10, np.log(lines) / 5, np.log(n / lines) / 8, sums[1] / n * 3, sums[2] / n * 5, sums[3] / n * 5], axis=1)
 
 
-def named_features(docs: DataFrame) -> list[Column]:
-    """Language and source, hashed to four values each."""
-    has = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")
-    return [F.when(F.pmod(F.xxhash64(has(c)), F.lit(4)) == k, 1.0).otherwise(0.0) for c in ("lang", "source") for k in range(4)]
+def metadata(docs: DataFrame) -> Column:
+    """What a row says of its text, as numbers: of language, source and the
+    host of url the hashed value, then the logarithm of n_chars and whether it
+    is missing. A column that docs doesn't have is null."""
+    has = lambda c, kind: F.col(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind)
+    host = F.lower(F.regexp_extract(has("url", "string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    names = [F.pmod(F.xxhash64(F.coalesce(x, F.lit(""))), F.lit(BUCKETS)).cast("double") for x in (has("lang", "string"), has("source", "string"), host)]
+    size = has("n_chars", "double")
+    return F.array(*names, F.coalesce(F.log1p(F.greatest(size, F.lit(0.0))) / 10, F.lit(0.0)), F.when(size.isNull(), 1.0).otherwise(0.0))
+
+
+def meta_features(rows: np.ndarray) -> np.ndarray:
+    """Rows x (META - LAYOUT) from metadata()."""
+    hot = np.eye(BUCKETS)
+    return np.column_stack([*(hot[rows[:, k].astype(int)] for k in range(len(NAMES))), rows[:, len(NAMES) :]])
 
 
 @dataclass
@@ -126,12 +139,10 @@ def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int =
     def choose(models: list[Logistic], n_low: int, n_high: int) -> list[tuple[np.ndarray, np.ndarray]]:
         out = []
         for teacher, pupil in ((1, 0), (0, 1)):
-            left = np.flatnonzero(~used[pupil])
+            left = np.random.default_rng(int(known.sum())).permutation(np.flatnonzero(~used[pupil]))
             p = models[teacher].probability(views[teacher][left])
-            rank = np.argsort(p, kind="stable")
-            low = [i for i in rank[:n_low] if p[i] < LOW]
-            high = [i for i in rank[::-1][:n_high] if p[i] > HIGH]
-            pick = left[np.array(low + high, int)]
+            low, high = np.flatnonzero(p < LOW)[:n_low], np.flatnonzero(p > HIGH)[:n_high]
+            pick = left[np.r_[low, high]]
             used[pupil][pick] = True
             out.append((views[pupil][pick], np.r_[np.zeros(len(low)), np.ones(len(high))]))
         return out
@@ -142,8 +153,8 @@ def co_train(content: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int =
 def _co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, choose: Callable, rounds: int, per_round: int) -> tuple[Logistic, Logistic]:
     """From labelled rows, and choose(models, n_low, n_high), which gives each
     view's new rows with the labels that the other one gave them: in every round
-    its most confident ones, in the classes' proportion. A fifth of the labelled
-    rows stays out and calibrates both."""
+    so many of which that one is confident, in the classes' proportion. A fifth
+    of the labelled rows stays out and calibrates both."""
     hold = np.arange(1, len(y) + 1) % 5 == 0
     if len(set(y[hold].tolist())) < 2 or len(set(y[~hold].tolist())) < 2:
         hold[:] = False
@@ -165,7 +176,7 @@ def _features(batch: pa.RecordBatch, dims: int):
     raw, off = K.string_buffers(batch.column("text"))
     for i, j in K.pieces(off, PIECE, 512):
         part, at = raw[off[i] : off[j]], off[i : j + 1] - off[i]
-        named = np.array(batch.column("meta").slice(i, j - i).to_pylist(), float).reshape(j - i, META - LAYOUT)
+        named = meta_features(np.array(batch.column("meta").slice(i, j - i).to_pylist(), float).reshape(j - i, len(NAMES) + NUMBERS))
         yield i, j, content_features(part, at, dims), np.column_stack((named, layout_features(part, at))).astype(np.float32)
 
 
@@ -176,14 +187,14 @@ def _fetched(rows: DataFrame, dims: int) -> pd.DataFrame:
         for batch in batches:
             for i, j, x, meta in _features(batch, dims):
                 cols = [batch.column(k).slice(i, j - i) for k in range(3)]
-                cols += [pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())]
+                cols += [pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "key", "y", "content", "meta"])
 
     return rows.select("__id", "__key", "__y", "text", "meta").mapInArrow(featured, "id long, key long, y double, content binary, meta binary").toPandas()
 
 
 def _arrays(got: pd.DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    content = np.frombuffer(b"".join(got.content), np.float16).reshape(len(got), dims + 1).astype(np.float32)
+    content = np.frombuffer(b"".join(got.content), np.float32).reshape(len(got), dims + 1)
     return content, np.frombuffer(b"".join(got.meta), np.float32).reshape(len(got), META)
 
 
@@ -211,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     )
     order = F.xxhash64(F.lit(SALT), F.col("id"))
     chosen = marks.withColumnRenamed("__id", "id").orderBy(order, "id").limit(labelled)
-    view = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.array(*named_features(docs)).alias("meta")).where("__id IS NOT NULL")
+    view = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), metadata(docs).alias("meta")).where("__id IS NOT NULL")
     view = view.withColumn("__key", F.xxhash64("text", "meta"))
     got = _fetched(view.join(F.broadcast(chosen.withColumnsRenamed({"id": "__id"})), "__id"), dims)
     got = got.sort_values(["id", "content"], kind="stable").drop_duplicates("id").sample(frac=1, random_state=0)
@@ -219,20 +230,20 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
         return None
     known = written(marks.select(F.col("__id").alias("id")), "labelled")
     if pool is not None:
-        some = view.select(F.col("__id").alias("id")).distinct().join(measured(known, 8), "id", "left_anti").orderBy(order, "id").limit(pool)
+        some = view.select(F.col("__id").alias("id")).distinct().join(measured(known), "id", "left_anti").orderBy(order, "id").limit(pool)
         view = view.join(F.broadcast(some.withColumnsRenamed({"id": "__id"})), "__id", "left_semi")
     taken: list[set[int]] = [set(), set()]
 
     def choose(models: list[Logistic], n_low: int, n_high: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        scores = _scores(view, models, dims).join(measured(known, 8), "id", "left_anti")
+        scores = _scores(view, models, dims).join(measured(known), "id", "left_anti")
         scores = written(scores.groupBy("key").agg(F.min("id").alias("id"), F.min("p0").alias("p0"), F.min("p1").alias("p1")), "scores")
         picks: list[dict[tuple[int, int], float]] = []
         for teacher, pupil in (("p1", 0), ("p0", 1)):
             found: dict[tuple[int, int], float] = {}
-            for label, where, by, n in ((0.0, F.col(teacher) < LOW, F.col(teacher), n_low), (1.0, F.col(teacher) > HIGH, F.desc(teacher), n_high)):
+            for label, where, n in ((0.0, F.col(teacher) < LOW, n_low), (1.0, F.col(teacher) > HIGH, n_high)):
                 # what was taken before is at most so many rows more
-                best = scores.where(where).orderBy(by, F.xxhash64(F.lit(SALT), "id"), "id", "key").limit(n + len(taken[pupil])).select("id", "key").collect()
-                found |= dict.fromkeys([(r.id, r.key) for r in best if r.key not in taken[pupil]][:n], label)
+                sure = scores.where(where).orderBy(F.xxhash64(F.lit(SALT), "key"), "key").limit(n + len(taken[pupil])).select("id", "key").collect()
+                found |= dict.fromkeys([(r.id, r.key) for r in sure if r.key not in taken[pupil]][:n], label)
             taken[pupil] |= {key for _, key in found}
             picks.append(found)
         wanted = sorted(picks[0].keys() | picks[1].keys())
@@ -249,28 +260,37 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
 
 def score_documents(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, **params) -> DataFrame:
     """docs with __content, __meta, __score (the probability of good quality by
-    either view, and by both) and __keep.
-
-    labels: (doc_id, quality 0 or 1); other values, and null ids, are left out,
-    and of several labels of one document the least counts. The classifiers are
-    fitted on at most `labelled` labelled documents, those of least hash. In
-    each round both views score all unlabelled ones (with `pool`, only so many
-    of least hash), and the 250 of which each is most confident join the
-    other's rows; equal documents count once. The combined score averages the
-    calibrated log-odds.
-
-    A null text is scored as an empty one; both lie at the classifiers' bias
-    and their layout. A null lang or source is a value of its own. Rows that
-    repeat a doc_id are scored each by its own text. Where labels name fewer
-    than two classes there is nothing to learn: scores are null, all stay.
+    either view, and by both) and __keep; existing columns of these names are
+    replaced, others are as given, whatever their names.
+
+    The content view sees the text's byte trigrams and repeated words; the
+    metadata view language, source, host and n_chars as the row gives them, and
+    the layout of the page (its lines, and how much of it is space, symbols or
+    punctuation). labels: (doc_id, quality 0 or 1); other values, and null ids,
+    are left out, and of several labels of one document the least counts. The
+    classifiers are fitted on at most `labelled` labelled documents, those of
+    least hash. In each round both views score all unlabelled ones (with
+    `pool`, only so many of least hash), and of those of which one view is
+    confident, per_round of least hash join the other's rows with its labels:
+    a random draw from all of them, so that it is alike at every size. Equal
+    documents count once. The combined score averages the calibrated log-odds.
+
+    A null text is scored as an empty one; both lie at the classifiers' bias,
+    their metadata and layout. A long text is scored whole. A null lang,
+    source, url or n_chars is a value of its own. Rows that repeat a doc_id are
+    scored each by its own text. A score that ties with keep_at is kept. Where
+    labels name fewer than two classes there is nothing to learn: scores are
+    null, all stay. An empty table stays empty.
     """
     dims = params.get("dims", DIMENSIONS)
     models = train(docs, labels, **params)
+    docs = docs.select(*given([c for c in docs.columns if c.lower() not in ("__content", "__meta", "__score", "__keep")]))
     if models is None:
         nothing = F.lit(None).cast("double")
         return docs.withColumns({"__content": nothing, "__meta": nothing, "__score": nothing, "__keep": F.lit(True)})
     content, meta = models
-    weights = content.weights
+    weights, layout = content.weights, meta.weights[-LAYOUT:]
+    seen, said, zc, zm = unused(docs.columns, "seen", "said", "zc", "zm")
 
     @F.arrow_udf("struct<content: double, layout: double>")
     def views(text: pa.Array) -> pa.Array:
@@ -279,21 +299,29 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT
         for i, j in K.pieces(off, PIECE, 512):
             part, at = raw[off[i] : off[j]], off[i : j + 1] - off[i]
             out[i:j] = content_features(part, at, dims) @ weights
-            lay[i:j] = layout_features(part, at) @ meta.weights[-LAYOUT:]
+            lay[i:j] = layout_features(part, at) @ layout
         return pa.StructArray.from_arrays([pa.array(content.slope * (out + content.bias) + content.shift), pa.array(lay)], ["content", "layout"])
 
-    logit = F.lit(meta.bias) + F.col("__v.layout")
-    for w, x in zip(meta.weights, named_features(docs)):
-        logit = logit + F.lit(float(w)) * x
+    logit = F.lit(meta.bias) + F.col(seen).getField("layout")
+    for k in range(len(NAMES)):
+        table = F.array(*[F.lit(float(w)) for w in meta.weights[k * BUCKETS : (k + 1) * BUCKETS]])
+        logit = logit + F.get(table, F.col(said)[k].cast("int"))
+    for k in range(NUMBERS):
+        logit = logit + F.lit(float(meta.weights[len(NAMES) * BUCKETS + k])) * F.col(said)[len(NAMES) + k]
     logit = F.lit(meta.slope) * logit + F.lit(meta.shift)
     sigmoid = lambda z: 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))
-    seen = docs.withColumn("__v", views(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    scored = seen.withColumns({"__zc": F.col("__v.content"), "__zm": logit})
-    scored = scored.withColumns({"__content": sigmoid(F.col("__zc")), "__meta": sigmoid(F.col("__zm")), "__score": sigmoid((F.col("__zc") + F.col("__zm")) / 2)})
-    return scored.withColumn("__keep", F.col("__score") >= keep_at).drop("__zc", "__zm", "__v")
+    scored = docs.withColumns({seen: views(F.coalesce(F.col("text").cast("string"), F.lit(""))), said: metadata(docs)})
+    scored = scored.withColumns({zc: F.col(seen).getField("content"), zm: logit})
+    scored = scored.withColumns({"__content": sigmoid(F.col(zc)), "__meta": sigmoid(F.col(zm)), "__score": sigmoid((F.col(zc) + F.col(zm)) / 2)})
+    return scored.withColumn("__keep", F.col("__score") >= keep_at).drop(zc, zm, seen, said)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """docs whose combined score is at least keep_at (by default even odds);
-    columns as given. Else as score_documents()."""
-    return score_documents(docs, labels, **params).where("__keep").select(*docs.columns)
+    columns as given, whatever their names. Else as score_documents()."""
+    clash = [c for c in docs.columns if c.lower() in ("__content", "__meta", "__score", "__keep")]
+    if not clash:
+        return score_documents(docs, labels, **params).where("__keep").select(*given(docs.columns))
+    safe = dict(zip(clash, unused(docs.columns, *("own" for _ in clash))))
+    kept = score_documents(docs.withColumnsRenamed(safe), labels, **params).where("__keep")
+    return kept.select(*[F.col(quoted(safe.get(c, c))).alias(c) for c in docs.columns])

@@ -31,6 +31,13 @@ def encoder(path: str):
     return _encoders[path]
 
 
+def token_ids(path: str):
+    """A function from a text to its ids as an array; nothing in a text is
+    special."""
+    encode = encoder(path).encode_ordinary
+    return lambda text: np.array(encode(text), np.uint32)
+
+
 def cut_points(ids: np.ndarray, window: int = WINDOW, mean: int = MEAN, least: int = LEAST, most: int = MOST) -> np.ndarray:
     """Ends of the chunks of an id stream. A rolling hash over the last window
     ids proposes a cut where its top bits are zero, so that equal passages are
@@ -78,13 +85,13 @@ def _chunked(vocabulary: str):
     a chunk row."""
 
     def run(batches):
-        encode = encoder(vocabulary).encode_ordinary
+        encode = token_ids(vocabulary)
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             seen: set[bytes] = set()
             size = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array(encode(text.as_py()), np.uint32)
+                ids = encode(text.as_py())
                 narrow = not len(ids) or int(ids.max()) < 65536
                 packed = ids.astype("<u2" if narrow else "<u4").tobytes()
                 recipe, last = [], 0
@@ -126,9 +133,13 @@ def token_store(docs: DataFrame, vocabulary: str = VOCABULARY, fan: int = FAN) -
     their Merkle root. The last level has one row, the root of the whole store;
     a store without recipes has no manifest.
 
-    restore() rebuilds the id streams and checks them against the recipes. A
-    null text has no recipe; an empty one has one without chunks. Rows that
-    repeat a doc_id have a recipe each; a null doc_id is kept as null.
+    Recipes fall into buckets by root and doc_id, so that equal documents don't
+    meet in one. restore() rebuilds the id streams and checks them against the
+    recipes. A null text has no recipe; an empty one has one without chunks; a
+    long one has as many chunks as it takes. Rows that repeat a doc_id, or are
+    wholly equal, have a recipe each; a null doc_id is kept as null. An empty
+    table gives an empty store. Other columns aren't read, so their names don't
+    matter; roots that tie stand beside each other in a manifest.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     parts = written(base.mapInArrow(_chunked(vocabulary), KIND), "store")
@@ -136,7 +147,7 @@ def token_store(docs: DataFrame, vocabulary: str = VOCABULARY, fan: int = FAN) -
     chunks = chunks.select(F.lit("chunk").alias("kind"), F.lit(None).cast("long").alias("doc_id"), "digest", "ids", F.lit(None).cast("binary").alias("chunks"), "n_tokens")
     recipes = parts.where("kind = 'recipe'")
     out = chunks.unionByName(recipes)
-    leaves, level = recipes.select(F.xxhash64("digest").alias("at"), "digest", "n_tokens"), 1
+    leaves, level = recipes.select(F.xxhash64("digest", "doc_id").alias("at"), "digest", "n_tokens"), 1
     n = leaves.count()
     while True:
         buckets = max(1, -(-n // fan))
@@ -145,7 +156,7 @@ def token_store(docs: DataFrame, vocabulary: str = VOCABULARY, fan: int = FAN) -
         if buckets == 1:
             return out
         n, level = nodes.count(), level + 1
-        leaves = nodes.select(F.xxhash64("digest").alias("at"), "digest", "n_tokens")
+        leaves = nodes.select(F.xxhash64("digest", "doc_id").alias("at"), "digest", "n_tokens")
 
 
 def _manifest(leaves: DataFrame, buckets: int, level: int) -> DataFrame:

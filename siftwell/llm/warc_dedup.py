@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import gzip
 import os
+import re
 import uuid
+import zlib
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +18,10 @@ from .common import measured, written
 
 START = 1704067200  # 2024-01-01, second of the first capture
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORD = "record_id string, warc_type string, target_uri string, warc_date string, payload_digest string, http_header string, payload string"
+RECORD = "record_id string, warc_type string, target_uri string, warc_date string, payload_digest string, http_header binary, payload binary"
+#: Bytes that are read from an archive, and given on as rows, at a time.
+READ, GIVE = 1 << 20, 8 << 20
+LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
 
 
 def _urn(key: Column) -> Column:
@@ -43,8 +50,8 @@ def crawl_records(pages: DataFrame) -> DataFrame:
     return seen.select(
         _urn(F.concat_ws(":", "page", "visit.kind", F.col("visit.wait").cast("string"), F.coalesce("url", F.lit("")))).alias("record_id"),
         F.col("visit.kind").alias("warc_type"), F.col("url").alias("target_uri"), date.alias("warc_date"), F.col("digest").alias("payload_digest"),
-        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n").alias("http_header"),
-        F.when(F.col("visit.kind") == "response", F.col("html")).alias("payload"),
+        F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n").cast("binary").alias("http_header"),
+        F.when(F.col("visit.kind") == "response", F.col("html").cast("binary")).alias("payload"),
     )
 
 
@@ -65,7 +72,9 @@ def deduplicate(records: DataFrame) -> DataFrame:
     anew: ids, lengths, digests of the block, and for a revisit what it refers to.
 
     Headers alone are shuffled by payload digest, with map-side minima; the
-    payloads only pass a filter that removes the demoted records.
+    payloads, of any bytes and length, only pass a filter that removes the
+    demoted records. Of responses that tie in date and record id the one of the
+    least URI is the original. An empty table gives an empty archive.
 
     A revisit whose original isn't in the input keeps refers_to null and says
     nothing of what it refers to. Records without a payload digest are written
@@ -81,26 +90,26 @@ def deduplicate(records: DataFrame) -> DataFrame:
     groups = heads.where(F.col("payload_digest").isNotNull() & F.col("warc_type").isin("response", "revisit")).groupBy(F.col("payload_digest").alias("__d"))
     originals = groups.agg(F.min(F.when(bearing, rank)).alias("__o"), F.count("*").alias("__n"), F.count_if(F.col("warc_type") == "revisit").alias("__v"))
     originals = written(originals.where("__n > 1 OR __v > 0").select("__d", "__o"), "originals")
-    joined = heads.join(measured(originals, 240), F.col("payload_digest") == F.col("__d"))
+    joined = heads.join(measured(originals), F.col("payload_digest") == F.col("__d"))
     pointing = joined.where((F.col("warc_type") == "revisit") | ((F.col("warc_type") == "response") & (rank != F.col("__o")))).distinct()
     pointing = written(pointing, "revisits")
     demoted = pointing.where("warc_type = 'response'").select(F.col("record_id").alias("__id"), F.col("warc_date").alias("__date"), F.col("target_uri").alias("__uri"), F.col("payload_digest").alias("__pd")).distinct()
     demoted = written(demoted, "demoted")
     same = (F.col("record_id") == F.col("__id")) & F.col("warc_date").eqNullSafe(F.col("__date")) & F.col("target_uri").eqNullSafe(F.col("__uri")) & (F.col("payload_digest") == F.col("__pd")) & (F.col("warc_type") == "response")
-    stay = known.where("warc_type <> 'revisit' OR warc_type IS NULL OR payload_digest IS NULL").join(measured(demoted, 260), same, "left_anti")
+    stay = known.where("warc_type <> 'revisit' OR warc_type IS NULL OR payload_digest IS NULL").join(measured(demoted), same, "left_anti")
     repeated = stay.groupBy("record_id", "warc_type", "target_uri", "warc_date", "payload_digest").count().where("count > 1")
     repeated = written(repeated.select("record_id").distinct(), "repeated")
-    side = measured(repeated, 60)
+    side = measured(repeated)
     once = stay.join(side, "record_id", "left_anti").unionByName(stay.join(side, "record_id", "left_semi").dropDuplicates(["record_id", "warc_type", "target_uri", "warc_date", "payload_digest"]))
-    nothing = F.lit(None).cast("string")
+    nothing, empty, blank = F.lit(None).cast("string"), F.lit("").cast("binary"), F.lit("\r\n").cast("binary")
     kept = once.select(
         F.col("record_id").alias("source_record_id"), "warc_type", "target_uri", "warc_date", "payload_digest", nothing.alias("refers_to"), nothing.alias("refers_uri"), nothing.alias("refers_date"),
-        F.concat(F.coalesce("http_header", F.lit("")), F.lit("\r\n"), F.coalesce("payload", F.lit(""))).alias("block"),
+        F.concat(F.coalesce(F.col("http_header").cast("binary"), empty), blank, F.coalesce(F.col("payload").cast("binary"), empty)).alias("block"),
     )
     sent = pointing.select(
         F.col("record_id").alias("source_record_id"), F.lit("revisit").alias("warc_type"), "target_uri", "warc_date", "payload_digest",
         _fresh(F.col("__o.record_id")).alias("refers_to"), F.col("__o.target_uri").alias("refers_uri"), F.col("__o.warc_date").alias("refers_date"),
-        F.concat(F.coalesce("http_header", F.lit("")), F.lit("\r\n")).alias("block"),
+        F.concat(F.coalesce(F.col("http_header").cast("binary"), empty), blank).alias("block"),
     )
     both = kept.unionByName(sent)
     header = F.concat(
@@ -114,58 +123,152 @@ def deduplicate(records: DataFrame) -> DataFrame:
 
 def write_archives(archive: DataFrame, folder: str) -> DataFrame:
     """Writes one .warc.gz, a gzip member per record, for each partition into a
-    folder all executors share, and returns its index (source_record_id, file,
-    offset, length). A file appears under its name when it is whole; a task
-    that runs again replaces it."""
-    os.makedirs(folder, exist_ok=True)
+    folder all executors share (a path, or the URI of a file system that Arrow
+    knows), and returns its index (source_record_id, file, offset, length). A
+    file appears under its name when it is whole; a task that runs again
+    replaces it. Blocks are bytes and are written as they are."""
 
     def run(batches):
         from pyspark import TaskContext
 
+        fs, root = _file_system(folder)
+        fs.create_dir(root, recursive=True)
         name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
-        part = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
+        part = f"{root}/.{name}.{uuid.uuid4().hex}"
         index: list[list] = [[], [], [], []]
-        with open(part, "wb") as f:
+        at = 0
+        with fs.open_output_stream(part, compression=None) as f:
             for batch in batches:
-                for source, header, block in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                    at = f.tell()
-                    f.write(gzip.compress(f"{header}\r\n{block}\r\n\r\n".encode(), 6, mtime=0))
-                    for c, x in zip(index, (source, name, at, f.tell() - at)):
+                for source, header, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    member = gzip.compress(header.encode() + b"\r\n" + block.as_py() + b"\r\n\r\n", 6, mtime=0)
+                    f.write(member)
+                    for c, x in zip(index, (source, name, at, len(member))):
                         c.append(x)
-        os.replace(part, os.path.join(folder, name))
+                    at += len(member)
+        fs.move(part, f"{root}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array(index[0], pa.string()), pa.array(index[1], pa.string()), pa.array(index[2], pa.int64()), pa.array(index[3], pa.int64())], ["source_record_id", "file", "offset", "length"])
 
-    return written(archive.select("source_record_id", "header", "block").mapInArrow(run, "source_record_id string, file string, offset long, length long"), "index")
+    return written(archive.select("source_record_id", "header", F.col("block").cast("binary")).mapInArrow(run, "source_record_id string, file string, offset long, length long"), "index")
+
+
+def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Also for the one slash that Hadoop leaves after file:."""
+    fs, path = pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
+    return fs, path.rstrip("/")
+
+
+def _records(stream):
+    """(header, block) of each record of an open archive, read piece by piece.
+    stream gives plain bytes; between records any line breaks may stand."""
+    data, at = bytearray(), 0
+
+    def need(n: int) -> bool:
+        nonlocal at
+        if at > 4 * READ:
+            del data[:at]
+            at = 0
+        while len(data) - at < n:
+            more = stream.read(max(READ, n - len(data) + at))
+            if not more:
+                return False
+            data.extend(more)
+        return True
+
+    while True:
+        while need(1) and data[at] in b"\r\n":
+            at += 1
+        if not need(1):
+            return
+        start, end = 0, -1
+        while end < 0:
+            end = data.find(b"\r\n\r\n", at + start)
+            if end < 0:
+                start = max(0, len(data) - at - 3)
+                if not need(len(data) - at + 1):
+                    raise ValueError("an archive ends within a record's header")
+        header = bytes(data[at : end + 2])
+        length = LENGTH.search(header)
+        if not header.startswith(b"WARC/") or length is None:
+            raise ValueError("an archive has a record without version or Content-Length")
+        at, n = end + 4, int(length.group(1))
+        if not need(n):
+            raise ValueError("an archive ends within a record's block")
+        yield header.decode("utf-8", "replace"), bytes(data[at : at + n])
+        at += n
+
+
+class _Members:
+    """The plain bytes of a file of gzip members, or of one that isn't packed."""
+
+    def __init__(self, stream) -> None:
+        self.stream, self.left = stream, stream.read(READ)
+        self.packed = self.left[:2] == b"\x1f\x8b"
+        self.inflate = zlib.decompressobj(31) if self.packed else None
+
+    def read(self, n: int) -> bytes:
+        while True:
+            if not self.left:
+                self.left = self.stream.read(READ)
+                if not self.left:
+                    if self.packed and self.inflate is not None and not self.inflate.eof and self.begun:
+                        raise ValueError("an archive ends within a gzip member")
+                    return b""
+            if not self.packed:
+                out, self.left = self.left, b""
+                return out
+            if self.inflate.eof:
+                self.inflate = zlib.decompressobj(31)
+            self.begun = True
+            out = self.inflate.decompress(self.left, max(READ, n))
+            self.left = self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail
+            if self.inflate.eof:
+                self.begun = False
+            if out:
+                return out
+
+    begun = False
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, header, block) of every record in the .warc.gz files of a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    """(file, header, block) of every record in the .warc.gz and .warc files of
+    a folder. The listing holds no contents: a task opens its files and reads
+    them as streams, a member after the other, so an archive may have any
+    size; a record's block must fit a row (2 GB). A field's name may be written
+    in any case. An archive that is cut off, or isn't one, raises ValueError."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc{,.gz}").load(folder)
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data, out, at = gzip.decompress(content), [], 0
-                while at < len(data):
-                    mid = data.index(b"\r\n\r\n", at) + 2
-                    header = data[at:mid].decode()
-                    length = int(header.rsplit("Content-Length: ", 1)[1].split("\r\n")[0])
-                    out.append((os.path.basename(path), header, data[mid + 2 : mid + 2 + length].decode()))
-                    at = mid + 2 + length + 4
-                cols = list(zip(*out)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in cols], ["file", "header", "block"])
+            for path in batch.column(0).to_pylist():
+                fs, inner = _file_system(path)
+                name, rows, size = os.path.basename(path), [], 0
+                with fs.open_input_stream(inner, compression=None, buffer_size=READ) as stream:
+                    for header, block in _records(_Members(stream)):
+                        rows.append((name, header, block))
+                        size += len(block)
+                        if size > GIVE:
+                            yield _rows(rows)
+                            rows, size = [], 0
+                if rows:
+                    yield _rows(rows)
+
+    return files.select("path").mapInArrow(run, "file string, header string, block binary")
+
 
-    return files.select("path", "content").mapInArrow(run, "file string, header string, block string")
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*rows)), (pa.string(), pa.string(), pa.binary()))], ["file", "header", "block"])
 
 
 def records_of(archives: DataFrame) -> DataFrame:
     """Records (RECORD) of read_archives(); a block of another type than
-    response and revisit is all payload."""
+    response and revisit, or one without a blank line, is all payload. Blocks
+    are cut as bytes."""
     field = lambda name: F.nullif(F.regexp_extract("header", rf"(?i)(?:^|\r\n){name}:[ ]*<?([^\r\n>]*)", 1), F.lit(""))
+    found = F.arrow_udf(lambda block: pc.find_substring(pc.binary_join_element_wise(pa.scalar(b"\r\n"), block, pa.scalar(b"")), b"\r\n\r\n").cast(pa.int32()), "int")
     http = field("WARC-Type").isin("response", "revisit")
-    at = F.locate("\r\n\r\n", F.concat(F.lit("\r\n"), F.col("block")))
-    head = F.when(http & (at > 0), F.substring("block", F.lit(1), at - 1))
-    body = F.when(http & (at > 0), F.substring("block", at + 2, F.length("block"))).otherwise(F.col("block"))
+    at = found("block")
+    head = F.when(http & (at >= 0), F.substring("block", F.lit(1), at))
+    body = F.when(http & (at >= 0), F.substring("block", at + 3, F.octet_length("block"))).otherwise(F.col("block"))
     return archives.select(
         field("WARC-Record-ID").alias("record_id"), field("WARC-Type").alias("warc_type"), field("WARC-Target-URI").alias("target_uri"), field("WARC-Date").alias("warc_date"),
         field("WARC-Payload-Digest").alias("payload_digest"), head.alias("http_header"), F.when(field("WARC-Type") != "revisit", body).alias("payload"),

@@ -1,6 +1,9 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and
 columns whose names the operators use themselves."""
 
+import collections
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,13 +30,13 @@ ROWS = [
     (None, "only this one has no number", "en", "a", 5),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = "id key root a b h n u v e m lead line line_no tid keys class bucket rank span spans piece len tie copy rate cdf size weight grams gen shard filter meta content layout __y digest kind".split()
+CLASH = sorted(set("id key root a b h n u v e m lead line line_no tid keys class bucket rank span spans piece len tie copy rate cdf size weight grams gen shard filter meta content layout __y digest kind gone rank known label cdf number at doc seen said zc zm own of print words __h __gen __rn __n __source __cdf __copy __place __gone __v a.b `q`".split()))
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
-    return df.withColumns({c: F.lit(f"extra {c}") for c in CLASH}).persist()
+    return df.select("*", *[F.lit(f"extra {c}").alias(c) for c in CLASH]).persist()
 
 
 @pytest.fixture(scope="module")
@@ -92,6 +95,7 @@ def test_lines(docs, none):
 def test_mix(docs, none):
     out = mixing.mix_sources(docs, epochs=40.0, copy_column="copy_no")
     assert out.columns == [*docs.columns, "copy_no"]
+    assert mixing.mix_sources(docs, copy_column="rank").columns == [*(c for c in docs.columns if c != "rank"), "rank"]
     counts = {(r["doc_id"], r["text"]): r["n"] for r in out.groupBy("doc_id", "text").agg(F.count("*").alias("n")).collect()}
     assert counts[(2, WORDS)] % 2 == 0 and (8, LONG) in counts and (4, None) in counts
     assert mixing.mix_sources(none).count() == 0
@@ -99,14 +103,15 @@ def test_mix(docs, none):
 
 
 def test_pack(docs, none):
-    out = packing.pack_documents(docs, capacity=1024, classes=64).toPandas()
-    assert out.groupby("pack_id").piece_length.sum().max() <= 1024
-    want = sum(len(r[1].encode()) for r in ROWS if r[1])
-    assert out.piece_length.sum() == want
-    assert (out.doc_id == 2).sum() == 2 and out.doc_id.isna().sum() == 2
+    rows = packing.pack_documents(docs, capacity=1024).collect()
+    assert max(r["n_tokens"] for r in rows) <= 1024
+    encode = token_store.token_ids(token_store.VOCABULARY)
+    assert sum(r["n_tokens"] for r in rows) == sum(len(encode(r[1])) for r in ROWS if r[1])
+    held = [d for r in rows for d, piece in zip(r["doc_ids"], r["pieces"]) if piece == 0]
+    assert held.count(2) == 2 and held.count(None) == 2 and held.count(8) == 1
     assert packing.pack_documents(none).count() == 0
     with pytest.raises(ValueError):
-        packing.pack_documents(docs, capacity=1000, classes=64)
+        packing.pack_documents(docs, capacity=1001)
 
 
 def test_quality(docs, labels, none, spark):
@@ -116,6 +121,10 @@ def test_quality(docs, labels, none, spark):
     assert len(rows) == len(ROWS) and all(0 <= r["__score"] <= 1 for r in rows)
     kept = quality.keep_good(docs, labels)
     untouched(docs, kept)
+    own = docs.withColumns({c: F.lit("mine") for c in ("__content", "__KEEP")})
+    untouched(own, quality.keep_good(own, labels, labelled=50, pool=50))
+    assert {r["__KEEP"] for r in quality.keep_good(own, labels.where("false")).collect()} == {"mine"}
+    assert quality.score_documents(own, labels.where("false")).columns == out.columns
     assert quality.score_documents(none, labels).count() == 0
     unlabelled = quality.keep_good(docs, labels.where("false"))
     assert unlabelled.count() == len(ROWS)
@@ -183,7 +192,8 @@ def test_stages(spark, docs, none, sf_dir):
         assert stage(spark, none, sf_dir).count() == 0
         now = after.persist()
     packed = corpus_pipeline.STAGES[-1][1](spark, now, sf_dir)
-    assert packed.agg(F.sum("piece_length")).first()[0] == now.agg(F.sum(F.octet_length("text"))).first()[0]
+    encode = token_store.token_ids(token_store.VOCABULARY)
+    assert packed.agg(F.sum("n_tokens")).first()[0] == sum(len(encode(r["text"])) for r in now.collect() if r["text"])
 
 
 def test_pipeline_against_its_parts(spark, data):
@@ -202,6 +212,25 @@ def test_pipeline_against_its_parts(spark, data):
     left = spark.createDataFrame([r for r in kept if r["doc_id"] not in near], documents.schema)
     want = {(r["doc_id"], r["n"]) for r in mixing.mix_sources(left).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     out = corpus_pipeline.run(spark, data).toPandas()
-    first = out[out.piece == 0].groupby("doc_id").size()
-    assert {(int(i), int(n)) for i, n in first.items()} == want
-    assert out.groupby("pack_id").piece_length.sum().max() <= packing.CAPACITY
+    held = collections.Counter(d for docs, pieces in zip(out.doc_ids, out.pieces) for d, piece in zip(docs, pieces) if piece == 0)
+    assert set(held.items()) == want and out.n_tokens.max() <= packing.CAPACITY
+
+
+def test_pipeline_of_empty_tables(spark, none, labels, tmp_path):
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_vectors_at_the_threshold_and_long_ones(spark):
+    x = [[1.0, 0.0], [0.95, math.sqrt(1 - 0.95**2)], [0.9499, math.sqrt(1 - 0.9499**2)]]
+    rows = [(i, v) for i, v in enumerate(x)] + [(10 + i, [1.0 + (i == k) for k in range(3000)]) for i in range(2)]
+    got = {(r["id_a"], r["id_b"]) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(0, 1), (1, 2), (10, 11)}
+
+
+def test_warc_ties_and_long_payloads(spark):
+    big = b"x" * 5_000_000
+    rows = [("r", "response", u, "2024-01-01T00:00:00Z", "sha1:1", b"H\r\n", big) for u in ("b", "a")]
+    got = {r["target_uri"]: r for r in warc_dedup.deduplicate(spark.createDataFrame(rows, warc_dedup.RECORD)).collect()}
+    assert got["a"]["warc_type"] == "response" and len(got["a"]["block"]) == 5_000_005 and got["b"]["warc_type"] == "revisit"
