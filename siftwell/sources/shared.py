@@ -11,11 +11,14 @@ _unset_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); only where that is
-    unset, as in tests, a temporary folder of this process."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset, a
+    temporary folder of this process if all tasks run in it, as in tests, else
+    an error: executors elsewhere would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _unset_dir:
         _unset_dir.append("file://" + tempfile.mkdtemp(prefix="siftwell-"))
     return _unset_dir[0]
