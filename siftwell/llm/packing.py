@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import measured, written
 from .token_store import VOCABULARY, encoder, token_ids
 
-CAPACITY, UNIT, BUCKET_ROWS = 32768, 8, 1 << 20
+CAPACITY, UNIT, BUCKET_BYTES = 32768, 8, 32 << 20
 #: The linear program is solved to this share of its optimum.
 TOLERANCE = 1e-3
 GIVE = 4 << 20
@@ -153,7 +153,7 @@ def id_type(vocabulary: str) -> str:
     return "<u2" if encoder(vocabulary).n_vocab <= 1 << 16 else "<u4"
 
 
-def placements(docs: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, vocabulary: str = VOCABULARY, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def placements(docs: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, vocabulary: str = VOCABULARY, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The place of every piece of a document: (doc_id, piece, length, pack_id,
     class, rank, ids). In a pack pieces lie in order of class, downward, then of
     rank. What else holds see pack_documents()."""
@@ -164,7 +164,8 @@ def placements(docs: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, voca
     text = F.col("text").cast("string")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text")).where("text <> ''")
     table = written(base.mapInArrow(_pieces(vocabulary, capacity, unit, sizes), "doc_id long, tie long, piece int, length int, class int, ids binary"), "pieces")
-    buckets = max(1, -(-table.count() // bucket_rows))
+    size = table.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] * np.dtype(id_type(vocabulary)).itemsize
+    buckets = max(1, -(-size // bucket_bytes))
     table = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie", "piece"), F.lit(buckets)).cast("int"))
     below = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(table.groupBy("class", "bucket").count().withColumn("before", F.coalesce(F.sum("count").over(below), F.lit(0))), "offsets")
@@ -205,7 +206,7 @@ def pack_documents(docs: DataFrame, **params) -> DataFrame:
     pieces, ranked by bucket, doc_id, content and piece, take the patterns'
     places in turn. The driver handles the histogram and the patterns only,
     whose size doesn't depend on the documents; ranks come from counts per
-    bucket of about a million pieces.
+    bucket of about 32 MB of ids.
 
     Texts that are null or empty hold no id and are in no pack. Rows that
     repeat a doc_id, wholly equal ones too, are packed each for itself; ties in
