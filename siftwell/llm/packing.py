@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import measured, written
 from .token_store import VOCABULARY, encoder, token_ids
 
-CAPACITY, UNIT, BUCKET_BYTES = 32768, 8, 32 << 20
+CAPACITY, UNIT = 32768, 8
 #: The linear program is solved to this share of its optimum.
 TOLERANCE = 1e-3
 GIVE = 4 << 20
@@ -125,19 +125,25 @@ def rounded_patterns(demand: np.ndarray, sizes: np.ndarray, units: int, toleranc
 
 
 def _pieces(vocabulary: str, capacity: int, unit: int, sizes: np.ndarray):
-    """(doc_id, tie, piece, length, class, ids) of (doc_id, tie, text)."""
+    """(doc_id, piece, length, class, bucket, rn, ids) of (doc_id, text): bucket
+    is the task that read the text, rn counts its pieces of the class."""
 
     def run(batches):
-        encode, kind = token_ids(vocabulary), id_type(vocabulary)
-        names = ["doc_id", "tie", "piece", "length", "class", "ids"]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        from pyspark import TaskContext
+
+        encode, kind, bucket = token_ids(vocabulary), id_type(vocabulary), TaskContext.get().partitionId()
+        names = ["doc_id", "piece", "length", "class", "bucket", "rn", "ids"]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        seen = [0] * len(sizes)
         for batch in batches:
             rows, size = [], 0
-            for doc_id, tie, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode(text.as_py()).astype(kind)
                 for k in range(-(-len(ids) // capacity)):
                     part = ids[k * capacity : (k + 1) * capacity]
-                    rows.append((doc_id, tie, k, len(part), int(np.searchsorted(sizes, -(-len(part) // unit))), part.tobytes()))
+                    c = int(np.searchsorted(sizes, -(-len(part) // unit)))
+                    rows.append((doc_id, k, len(part), c, bucket, seen[c], part.tobytes()))
+                    seen[c] += 1
                     size += len(part) * part.itemsize
                 if size > GIVE:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names)
@@ -153,7 +159,7 @@ def id_type(vocabulary: str) -> str:
     return "<u2" if encoder(vocabulary).n_vocab <= 1 << 16 else "<u4"
 
 
-def placements(docs: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, vocabulary: str = VOCABULARY, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def placements(docs: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, vocabulary: str = VOCABULARY) -> DataFrame:
     """The place of every piece of a document: (doc_id, piece, length, pack_id,
     class, rank, ids). In a pack pieces lie in order of class, downward, then of
     rank. What else holds see pack_documents()."""
@@ -162,11 +168,8 @@ def placements(docs: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, voca
     units = capacity // unit
     sizes = class_sizes(units)
     text = F.col("text").cast("string")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text")).where("text <> ''")
-    table = written(base.mapInArrow(_pieces(vocabulary, capacity, unit, sizes), "doc_id long, tie long, piece int, length int, class int, ids binary"), "pieces")
-    size = table.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] * np.dtype(id_type(vocabulary)).itemsize
-    buckets = max(1, -(-size // bucket_bytes))
-    table = table.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie", "piece"), F.lit(buckets)).cast("int"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("text <> ''")
+    table = written(base.mapInArrow(_pieces(vocabulary, capacity, unit, sizes), "doc_id long, piece int, length int, class int, bucket int, rn long, ids binary"), "pieces")
     below = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(table.groupBy("class", "bucket").count().withColumn("before", F.coalesce(F.sum("count").over(below), F.lit(0))), "offsets")
     demand = np.zeros(len(sizes), np.int64)
@@ -180,11 +183,9 @@ def placements(docs: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, voca
             taken[k] += each * n
         pack += n
     plan = docs.sparkSession.createDataFrame(spans, "class int, lo long, hi long, pack long, each int").groupBy("class").agg(F.collect_list(F.struct("lo", "hi", "pack", "each")).alias("spans"))
-    inside = Window.partitionBy("class", "bucket").orderBy(F.col("doc_id").asc_nulls_last(), "tie", "piece")
     return (
-        table.withColumn("rn", F.row_number().over(inside))
-        .join(measured(offsets.select("class", "bucket", "before")), ["class", "bucket"])
-        .withColumn("rank", F.col("rn") - 1 + F.col("before"))
+        table.join(measured(offsets.select("class", "bucket", "before")), ["class", "bucket"])
+        .withColumn("rank", F.col("rn") + F.col("before"))
         .join(F.broadcast(plan), "class")
         .withColumn("span", F.filter("spans", lambda s: (s["lo"] <= F.col("rank")) & (F.col("rank") < s["hi"]))[0])
         .select("doc_id", "piece", "length", F.expr("span.pack + (rank - span.lo) div span.each").alias("pack_id"), "class", "rank", "ids")
@@ -203,14 +204,15 @@ def pack_documents(docs: DataFrame, **params) -> DataFrame:
     all pieces, each class by its upper bound (multiples of 8 ids up to 256, of
     32 up to 1024, of 128 beyond); a linear program over that histogram is
     solved by column generation, its patterns are rounded, and each class's
-    pieces, ranked by bucket, doc_id, content and piece, take the patterns'
-    places in turn. The driver handles the histogram and the patterns only,
-    whose size doesn't depend on the documents; ranks come from counts per
-    bucket of about 32 MB of ids.
+    pieces, ranked by where they stand in docs, take the patterns' places in
+    turn. The driver handles the histogram and the patterns only, whose size
+    doesn't depend on the documents. A task numbers its pieces as it reads them,
+    and ranks come from the tasks' counts, so that the ids are shuffled once, to
+    their packs; another partitioning of docs ranks, and packs, otherwise.
 
     Texts that are null or empty hold no id and are in no pack. Rows that
-    repeat a doc_id, wholly equal ones too, are packed each for itself; ties in
-    rank are between equal pieces only. A null doc_id is kept as null. An empty
+    repeat a doc_id, wholly equal ones too, are packed each for itself; no two
+    pieces tie in rank. A null doc_id is kept as null. An empty
     table gives no packs. Other columns aren't read, whatever their names.
     """
     piece = F.struct(-F.col("class"), "rank", "doc_id", "piece", "length", "ids")
