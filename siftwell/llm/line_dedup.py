@@ -14,6 +14,8 @@ WIDTH, BANDS, ROWS, THRESHOLD = 8, 8, 4, 0.8
 PIECE = 1 << 17
 #: Bits of a hash that tell a pair's shingles apart, beside the pair's number.
 BITS = 50
+#: 64-bit words of a line's parities.
+PARITIES = 16
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -82,22 +84,57 @@ def jaccards(a: pa.Array, b: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def parities(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each line the size of its shingle set, and bits (rows x PARITIES): bit
+    i is the parity of the number of its shingles that fall into cell i. As each
+    shingle that only one of two lines has turns one bit, the lines have at
+    least as many of those as bits that differ."""
+    cells = 64 * PARITIES
+    sizes, bits = np.zeros(len(text), np.int64), np.zeros((len(text), PARITIES), np.int64)
+    for i, j in K.pieces(K.string_buffers(text)[1], PIECE, 1024):
+        values = _sets(text, i, j, width)
+        row = (values >> np.uint64(BITS)).astype(np.int64)
+        sizes[i:j] = np.bincount(row, minlength=j - i)
+        odd = np.bincount(row * cells + (values & np.uint64(cells - 1)).astype(np.int64), minlength=(j - i) * cells) & 1
+        bits[i:j] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(j - i, PARITIES)
+    return sizes, bits
+
+
 def line_components(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """All lines (doc_id, tid, line_no, line) and (id, root) of the near ones,
     where line, id and root are 64-bit hashes of trimmed lines."""
     named = _lines(docs).select("doc_id", "tid", "line_no", F.xxhash64("line").alias("line"), F.col("line").alias("words"))
     signed = written(named.mapInArrow(_signed(width, bands, rows), "doc_id long, tid long, line_no int, line long, keys array<long>, words string"), "lines")
     banded = signed.where(F.size("keys") > 0).select(F.col("line").alias("id"), F.explode("keys").alias("key"))
+    names = [f"p{i}" for i in range(PARITIES)]
+
+    def summed(batches):
+        for batch in batches:
+            sizes, bits = parities(batch.column(1), width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *map(pa.array, np.ascontiguousarray(bits.T))], ["id", "n", *names])
+
+    def traits(ids: DataFrame) -> DataFrame:
+        return texts_of(written(ids, "ids")).mapInArrow(summed, "id long, n long, " + ", ".join(f"{p} long" for p in names))
+
+    def differ(x: str, y: str) -> tuple[Column, Column]:
+        # a Jaccard similarity of at least t leaves (1 - t) / (1 + t) of both sizes to differ, at most
+        n = [F.col(f"{side}.n") for side in (x, y)]
+        turned = [F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in names]
+        return F.greatest(F.abs(n[0] - n[1]), sum(turned[1:], turned[0])), (n[0] + n[1]) * ((1 - threshold) / (1 + threshold) + 1e-9)
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        texts = signed.where("words IS NOT NULL").select(F.col("line").alias("id"), "words").join(measured(ids), "id", "left_semi")
+        return texts.groupBy("id").agg(F.min("words").alias("words"))
+
     jaccard = F.arrow_udf(lambda a, b: pa.array(jaccards(a, b, width)), "double")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        texts = signed.where("words IS NOT NULL").select(F.col("line").alias("id"), "words").join(measured(ids), "id", "left_semi")
-        texts = written(texts.groupBy("id").agg(F.min("words").alias("words")), "texts")
+        texts = written(texts_of(ids), "texts")
         left, right = texts.withColumnsRenamed({"id": "a", "words": "wa"}), texts.withColumnsRenamed({"id": "b", "words": "wb"})
         return pairs.join(left, "a").join(right, "b").where(jaccard("wa", "wb") >= threshold).select("a", "b")
 
-    return signed.drop("keys", "words"), near_components(banded, verify)
+    return signed.drop("keys", "words"), near_components(banded, verify, traits=traits, differ=differ)
 
 
 def drop_near_lines(docs: DataFrame, **params) -> DataFrame:
@@ -113,7 +150,8 @@ def drop_near_lines(docs: DataFrame, **params) -> DataFrame:
     (doc_id, line number) stays; of one place in two texts of a doc_id, the one
     of the text of least hash. A pair at the threshold shares one of 8 bands of
     4 with 0.985, at 0.9 with 0.9999; all pairs that share one are verified on
-    the full sets. Lines are told apart by a 64-bit hash, a pair's shingles by
+    the full sets, save those whose parities show that they differ by more than
+    near lines can. Lines are told apart by a 64-bit hash, a pair's shingles by
     one of 50 bits.
 
     A row with a null doc_id or a null text is passed on as it is (its counts
