@@ -74,6 +74,48 @@ def test_intervals_skip_distant_blocks():
     assert len(i) < 0.4 * 2400 * 2400
 
 
+def classes_of(pairs, ids):
+    root, n = components_of(pairs), collections.Counter(x for p in pairs for x in p)
+    return {i: (root.get(i, i), n[i]) for i in ids}
+
+
+def test_classes_count_every_pair_without_giving_it(spark, monkeypatch):
+    """A crowd of near vectors, some ids with two vectors, and some alone."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(scale=0.05, size=(400, 16)), rng.normal(size=(12, 16)).repeat(8, axis=0) + rng.normal(scale=0.2, size=(96, 16))])
+    ids = [i % 480 for i in range(len(x))]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(u @ u.T >= 0.95, 1))
+    pairs = {(min(a, b), max(a, b)) for a, b in ((ids[p], ids[q]) for p, q in zip(i.tolist(), j.tolist())) if a != b}
+    passed, written = [], embedding_dedup.written
+
+    def counted(df, tag):
+        out = written(df, tag)
+        if tag == "links":
+            passed.append(out.count())
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "written", counted)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    for block in (4096, 60):
+        got = {r["vec_id"]: (r["class_id"], r["n_links"]) for r in embedding_dedup.vector_classes(df, block=block).collect()}
+        assert got == classes_of(pairs, set(ids))
+    assert len(pairs) > 60_000 and passed[0] < 0.3 * len(pairs)
+
+
+def test_classes_match_sql_where_there_are_pairs(spark, data, duck):
+    table = spark.read.parquet(f"{data}/embeddings.parquet")
+    sql = queries.oracle_sql()["op1_embedding_near_dedup"].replace(">= 0.95", ">= 0.4")
+    same(embedding_dedup.vector_classes(table, threshold=0.4, block=64), duck, sql)
+    assert duck.execute(f"SELECT count(*) FROM ({sql}) WHERE n_links > 1 AND class_id <> vec_id").fetchone()[0]
+
+
+def test_query_has_a_row_for_each_vector(spark, data):
+    out = queries.queries()["op1_embedding_near_dedup"](spark, data)
+    assert out.columns == ["vec_id", "class_id", "n_links"]
+    assert out.count() == spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").distinct().count()
+
+
 # 2
 
 
