@@ -222,6 +222,14 @@ def test_pipeline_of_empty_tables(spark, none, labels, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_classes_of_odd_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (None, [1.0, 0.0]), (5, [1.0, None]), (7, []), (8, [1.0, 0.0, 0.0]), (9, [5.0, 0.0, 0.0]), (1, [0.0, 1.0]), (10, [0.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["class_id"], r["n_links"]) for r in embedding_dedup.vector_classes(df).collect()}
+    assert got == {1: (1, 2), 2: (1, 1), 10: (1, 1), 8: (8, 1), 9: (8, 1), **{i: (i, 0) for i in (3, 4, 5, 7)}}
+    assert embedding_dedup.vector_classes(df.limit(0)).count() == 0
+
+
 def test_vectors_at_the_threshold_and_long_ones(spark):
     x = [[1.0, 0.0], [0.95, math.sqrt(1 - 0.95**2)], [0.9499, math.sqrt(1 - 0.9499**2)]]
     rows = [(i, v) for i, v in enumerate(x)] + [(10 + i, [1.0 + (i == k) for k in range(3000)]) for i in range(2)]
