@@ -195,9 +195,10 @@ def human_duration(millis: Column) -> Column:
 
 
 def surrounding(lines: Column, line: Column, before: int, after: int) -> Column:
-    """Lines around a 1-based line of an array, trimmed."""
+    """Lines around a 1-based line of an array, blanks trimmed."""
     start = F.greatest(F.lit(1), line - before)
-    return F.transform(F.slice(lines, start, F.least(F.size(lines), line + after) - start + 1), F.trim)
+    # not F.trim itself: transform() would give its second parameter the line's index, as the characters to trim
+    return F.transform(F.slice(lines, start, F.least(F.size(lines), line + after) - start + 1), lambda x: F.trim(x))
 
 
 def padded(value: Column, width: int) -> Column:

@@ -36,6 +36,11 @@ def test_groups_and_config(tmp_path):
     assert groups.variations("auth") == ["authenticate", "authorization", "authorized"]
 
 
+def test_surrounding_lines_lose_blanks_only(spark):
+    lines = F.array(F.lit(" 0x0 "), F.lit("1 and 1"), F.lit("  22"), F.lit(""))
+    assert spark.range(1).select(text.surrounding(lines, F.lit(1), 2, 3).alias("x")).first()["x"] == ["0x0", "1 and 1", "22", ""]
+
+
 def test_text_helpers(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     assert one(text.human_bytes(F.lit(1536))) == "1.5 KB" and one(text.human_bytes(F.lit(12))) == "12 B"
