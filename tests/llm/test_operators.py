@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from siftwell.llm import common, embedding_dedup, exact_dedup, html_wrappers, kernels, line_dedup, mixing, near_dedup, packing, quality, queries, token_store, warc_dedup
@@ -56,6 +57,30 @@ def test_near_vectors_equal_brute_force(spark):
         assert got == set(zip(i.tolist(), j.tolist())) and got
 
 
+def test_small_blocks_are_not_sent_to_each_other_one_by_one(spark, monkeypatch):
+    """125 blocks that are all near to each other; then also some ids with two vectors, of which both are near to another."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1000, 64))
+    x[500:600] = x[:100] + rng.normal(scale=0.1, size=(100, 64))
+    x[900:950] = x[:50] + rng.normal(scale=0.1, size=(50, 64))
+    sent, apply = [], GroupedData.applyInPandas
+
+    def counted(self, *args):
+        if "v" in self._df.columns:
+            sent.append(self._df.agg(F.sum(F.octet_length("v"))).first()[0])
+        return apply(self, *args)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", counted)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(u @ u.T >= 0.4, 1))
+    for ids in (list(range(1000)), [k % 900 for k in range(1000)]):
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(ids, x)], "vec_id long, embedding array<double>")
+        got = [(r["id_a"], r["id_b"]) for r in embedding_dedup.near_vectors(df, 0.4, block=8).collect()]
+        want = {(min(ids[p], ids[q]), max(ids[p], ids[q])) for p, q in zip(i.tolist(), j.tolist()) if ids[p] != ids[q]}
+        assert len(got) == len(want) and set(got) == want
+        assert sent.pop() <= 17 * x.nbytes and not sent
+
+
 def test_one_vector_of_each_group_stays(spark):
     rng = np.random.default_rng(2)
     x = np.repeat(rng.normal(size=(30, 12)), 4, axis=0) + rng.normal(scale=0.05, size=(120, 12))
